@@ -5,7 +5,7 @@ is taken for sure, the fraction is an inclusion probability. Probabilities are m
 space of the constraints - sum of tokens and number of documents of the source - until each is 0 or
 1 (flight). A flight runs over blocks of a source's documents, in parallel, and leaves at most two
 fractions a block; those of many blocks meet in the next round's blocks, until one block a source is
-left, whose last fractions are rounded at random (landing). A source with a third of all documents
+left, whose last fractions are rounded to keep both sums nearest (landing). A source with a third of all documents
 is simply many blocks.
 
 Draws come from hashes of doc_id and seed, so reruns agree. Texts never travel.
@@ -103,14 +103,21 @@ def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-def landing(p: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """The last fractions (two at most after a flight), rounded so that their sum stays near."""
+def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The last fractions (two at most after a flight) rounded to whatever keeps both sums nearest.
+
+    Tokens come first, in units of the larger document; documents decide ties.
+    """
     left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-    carry = 0.0
-    for j, i in enumerate(left):
-        want = p[i] + carry
-        p[i] = 1.0 if (want > draws[i] if j == len(left) - 1 else draws[i] < p[i]) else 0.0
-        carry = want - p[i]
+    scale = max(float(size[left].max()), 1.0) if len(left) else 1.0
+    best = None
+    for bits in range(1 << len(left)):
+        take = np.array([(bits >> j) & 1 for j in range(len(left))], dtype=float)
+        off = take - p[left]
+        cost = (abs(float(off @ size[left])) / scale, abs(float(off.sum())), bits)
+        if best is None or cost < best[0]:
+            best = cost, take
+    p[left] = best[1]
     return np.round(p)
 
 
@@ -120,7 +127,7 @@ def _pass(rows: DataFrame, last: bool) -> DataFrame:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["draw", "id", "nth"], kind="stable").reset_index(drop=True)
         p = flight(block["p"].to_numpy(float), block["size"].to_numpy(float), block["u"].to_numpy(float))
-        block["p"] = landing(p, block["u"].to_numpy(float)) if last else p
+        block["p"] = landing(p, block["size"].to_numpy(float)) if last else p
         return block
 
     return rows.groupBy("skey", "block").applyInPandas(run, rows.schema)
