@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import fingerprint, language_id, line_dedup, mixing, near_dup, packing, quality, toxicity, url_filter
+from edgeloom.llm import fingerprint, language_id, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
 from edgeloom.llm.common import is_held_out, table
 from edgeloom.storage import shuffle_width
 
@@ -63,6 +63,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "__lines.n_lines", "__lines.n_removed", F.sha2(F.encode(F.coalesce("__lines.text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -76,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_url_filter, op3_toxicity, op4_fingerprint, op5_mixing, op6_line_dedup, op8_quality, op9_near_dup, op10_packing]
+    found = [op1_language_id, op2_url_filter, op3_toxicity, op4_fingerprint, op5_mixing, op6_line_dedup, op7_suffix_dedup, op8_quality, op9_near_dup, op10_packing]
     return {f.__name__: f for f in found}
 
 
