@@ -31,32 +31,31 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node either points to one node or is pointed to."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("low")).union(edges.select("v", F.lit(0)))
+    per = ends.groupBy("node").agg(F.sum("low").alias("points"), F.min("low").alias("low"))
+    return per.where("points > 1 or (points > 0 and low = 0)").isEmpty()
 
 
 def star_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) of every node of an undirected edge table's first two columns.
 
-    ``component`` is the smallest node of the component. Self-loops count as nodes of their own,
-    rows with a null end are ignored, repeated and reversed edges are one edge.
+    ``component`` is the smallest node of the component. A node with a self-loop alone is its own
+    component, rows with a null end are ignored, repeated and reversed edges are one edge.
     """
     a, b = edges.columns[:2]
-    raw = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "star-edges")
-    state = Table(raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-    mark = _mark(state.df)
+    raw = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    state = Table(raw.distinct(), "star")
+    loops = state.df.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    links = state.df.where("u <> v")
     for _ in range(max_rounds):
-        if not mark[0]:
+        if _is_done(links):
             break
-        step = Table(_star(state.df, large=True), "star")
-        state.drop()
+        step = Table(_star(links, large=True), "star")
         state = Table(_star(step.df, large=False), "star")
         step.drop()
-        before, mark = mark, _mark(state.df)
-        if before == mark:
-            break
-    loops = raw.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    stars = state.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = state.df.select(F.col("v").alias("node"), F.col("v").alias("component"))
+        links = state.df
+    stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.union(roots).union(loops).groupBy("node").agg(F.min("component").alias("component"))
