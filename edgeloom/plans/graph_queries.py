@@ -539,7 +539,7 @@ def _user_walks(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 _WALK = """, num AS MATERIALIZED (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY u) AS k FROM usym),
-starts AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY u) - 1) * 2 + j AS walk, u FROM (SELECT DISTINCT u FROM usym), (VALUES (0), (1)) x(j)),
+starts AS MATERIALIZED (SELECT nth * 2 + j AS walk, u FROM (SELECT u, row_number() OVER (ORDER BY u) - 1 AS nth FROM (SELECT DISTINCT u FROM usym)), (VALUES (0), (1)) x(j)),
 """
 _UNIFORM = _WALK + """walked(walk, step, cur, path) AS (SELECT walk, 0, u, [u] FROM starts UNION ALL
   SELECT w.walk, w.step + 1, n.v, list_append(w.path, n.v) FROM walked w JOIN num n ON n.u = w.cur AND n.i = ((w.walk * 48271 + (w.step + 2) * 16807) % 2147483647) * 69621 % 2147483647 % n.k WHERE w.step < 5)"""

@@ -241,7 +241,7 @@ def theory_power_law_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("theory_lognormal_auc", """SELECT sigma, round(1 - sum(exp(-x * x / 2) * q * h) / sum(exp(-x * x / 2) * h), 6) AS auc FROM (
-  SELECT sigma, x, h, sum(exp(-(y * y) / 2) * h) OVER (PARTITION BY sigma ORDER BY x) / 2.5066282746310002 AS q FROM (
+  SELECT sigma, x, h, (sum(exp(-(y * y) / 2) * h) OVER (PARTITION BY sigma ORDER BY x) - exp(-(y * y) / 2) * h / 2) / 2.5066282746310002 AS q FROM (
     SELECT sigma, x, h, x - sigma AS y FROM (SELECT 0.5::DOUBLE + k * 0.5 AS sigma FROM (SELECT unnest(range(3)) AS k)) s, (SELECT -8 + i * 0.001::DOUBLE AS x, 0.001::DOUBLE AS h FROM (SELECT unnest(range(16001)) AS i)) g)) GROUP BY sigma""")
 def theory_lognormal_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The sum on the grid is the chance that a normal is below another shifted by sigma: Phi(sigma / sqrt 2).
