@@ -289,7 +289,7 @@ def dedup(documents: DataFrame, length: int = 100, k: int = 24, hot: int = 20_00
     known = materialise(known, "suffix-pieces")
 
     asked = known.where("kind = 2").groupBy("doc", "nth").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
-    given = materialise(_piece_bytes(texts.join(asked, ["doc", "nth"]).select("doc", "nth", "text", "asked"), length), "suffix-bytes")
+    given = materialise(_piece_bytes(texts.join(asked.hint("merge"), ["doc", "nth"]).select("doc", "nth", "text", "asked"), length), "suffix-bytes")
     busy = [r["anchor"] for r in given.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "anchor").limit(10_000).collect()]
     calm = given.where(~F.col("anchor").isin(busy)) if busy else given
     found = _repeats(calm.repartition("anchor").sortWithinPartitions("anchor", "doc", "nth", "start"), length)
@@ -297,7 +297,8 @@ def dedup(documents: DataFrame, length: int = 100, k: int = 24, hot: int = 20_00
         found = found.union(_by_window(given.where(F.col("anchor").isin(busy)), length))
     found = found.union(known.where("kind = 1").select("doc", "nth", "start", "windows"))
     per = found.groupBy("doc", "nth").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
-    out = _drop(texts.join(per, ["doc", "nth"], "left").select("doc", "nth", "text", "found"), length)
+    # Both joins with the texts shuffle at every size, so that a plan's cost follows its input.
+    out = _drop(texts.join(per.hint("merge"), ["doc", "nth"], "left").select("doc", "nth", "text", "found"), length)
     if many:
         out = out.join(rows.select("doc", "nth", "times"), ["doc", "nth"]).withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     doc_id = F.when(F.col("doc") != _LEAST_ID, F.col("doc")).alias("doc_id")
