@@ -80,4 +80,4 @@ def judge(documents: DataFrame, limit: float = 0.5) -> DataFrame:
     base = base_rules(documents.select("doc_id", key.alias("host_key"), "text"), "text").drop("text")
     base = materialise(base, "quality-base")
     out = lookup_join(base, materialise(host_verdicts(base, limit), "host-verdicts"), "host_key", "doc_id")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "shrunk_rate", (~F.col("base_failed") & F.col("host_passed")).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("shrunk_rate", 6).alias("shrunk_rate"), (~F.col("base_failed") & F.col("host_passed")).alias("kept"))
