@@ -11,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.storage import Table, materialise
+from edgeloom.storage import Table, materialise, width_for
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, width: int) -> DataFrame:
     if large:
         around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # The minima are written first: then both join sides end in plain exchanges and Spark can split a
     # hub's partition at run time (a hub's row exists once on the minimum side).
-    least = materialise(around.groupBy("u").agg(F.min("v").alias("__m")), "star-min").withColumnRenamed("u", "__k")
+    least = materialise(around.groupBy("u").agg(F.min("v").alias("__m")), "star-min", width).withColumnRenamed("u", "__k")
     joined = around.join(least, around["u"] == least["__k"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.least("__m", "u").alias("v"))
@@ -47,13 +47,14 @@ def star_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     a, b = edges.columns[:2]
     raw = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     state = Table(raw.distinct(), "star")
+    width = width_for(edges.sparkSession, state.df.count())
     loops = state.df.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     links = state.df.where("u <> v")
     for _ in range(max_rounds):
         if _is_done(links):
             break
-        step = Table(_star(links, large=True), "star")
-        state = Table(_star(step.df, large=False), "star")
+        step = Table(_star(links, True, width), "star", width)
+        state = Table(_star(step.df, False, width), "star", width)
         step.drop()
         links = state.df
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

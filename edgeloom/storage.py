@@ -29,10 +29,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Table:
-    """A DataFrame written once: ``df`` reads it back, ``drop()`` deletes its files."""
+    """A DataFrame written once: ``df`` reads it back, ``drop()`` deletes its files.
 
-    def __init__(self, df: DataFrame, tag: str):
+    ``width`` bounds the tasks and files of a table that is known to be small.
+    """
+
+    def __init__(self, df: DataFrame, tag: str, width: int | None = None):
         spark = df.sparkSession
+        df = df if width is None else df.coalesce(width)
         self.path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
@@ -43,8 +47,13 @@ class Table:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    return Table(df, tag).df
+def materialise(df: DataFrame, tag: str, width: int | None = None) -> DataFrame:
+    return Table(df, tag, width).df
+
+
+def width_for(spark: SparkSession, rows: int, each: int = 100_000) -> int:
+    """Tasks for a table of so many rows: what loops over small tables takes is mostly tasks."""
+    return max(1, min(shuffle_width(spark), max(6, rows // each)))
 
 
 def shuffle_width(spark: SparkSession) -> int:
