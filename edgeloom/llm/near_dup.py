@@ -5,9 +5,9 @@
    class stands by its smallest doc_id.
 2. Classes with a key in common meet in a bucket. A bucket never emits all its pairs: it names one
    pivot and pairs it with the others. Pairs whose minima agree enough are verified on full sets,
-   one a class and round, and verified links go to the components (large-star / small-star).
+   one a class at first, and verified links go to the components (large-star / small-star).
 3. A bucket whose members are one component is done. In another, members outside its largest
-   component become the next pivots (1, 2, 4, ... a round) and meet all members of other components.
+   component become the next pivots (16, 128, ... a round) and meet all members of other components.
    So a bucket that thousands of near copies share costs a pair for each of them, and no pair of
    classes in different components with a key in common stays uncompared.
 
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from edgeloom.llm.shingles import Minima, shingle_sets, similar
 from edgeloom.operators.components import star_components
-from edgeloom.storage import Table, materialise
+from edgeloom.storage import materialise, width_for
 
 
 def signatures(documents: DataFrame, k: int, minima: Minima) -> DataFrame:
@@ -58,11 +58,12 @@ def signatures(documents: DataFrame, k: int, minima: Minima) -> DataFrame:
 
 def _agree(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose minima agree in a share of ``least`` or more."""
-    left = pairs.join(signs.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
+    # Merges at every size: what is broadcast while it is small would be another plan when it isn't.
+    left = pairs.hint("merge").join(signs.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
     # A pivot may have very many pairs: its signature comes to as many salted copies.
     salts = 32
     left = left.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
-    heads = pairs.select("a").distinct().join(signs.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
+    heads = pairs.select("a").distinct().hint("merge").join(signs.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = left.join(heads, ["a", "salt"]).select("a", "b", "sa", "sb")
 
@@ -78,7 +79,7 @@ def _agree(pairs: DataFrame, signs: DataFrame, least: float) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int = 16) -> DataFrame:
     """Pairs (a, b) that are similar, on full sets. Each b comes with few pairs, an a may have many."""
-    left = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text")), "b").select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"), "b", "text")
+    left = pairs.hint("merge").join(texts.select(F.col("rep").alias("b"), F.col("text")), "b").select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt"), "b", "text")
     wanted = left.select("a", "salt").distinct()  # the column-pruned plan shuffles no text
     heads = wanted.join(texts.select(F.col("rep").alias("a"), "text"), "a").select("a", "salt", F.col("text").alias("head"))
     both = left.join(heads, ["a", "salt"]).select("a", "b", "text", "head")
@@ -99,19 +100,22 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int
     return both.mapInPandas(run, "a long, b long")
 
 
-def _pivot_pairs(buckets: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+def _pivot_pairs(buckets: DataFrame, many: int, width: int) -> tuple[DataFrame, DataFrame] | None:
     """Candidate pairs of open buckets (key, rep, comp), and the buckets without the pivots used.
+    None if no bucket is open.
 
     Members outside a bucket's largest component are its pivots, ``many`` at most at a time.
     """
     sizes = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     # The largest by count, then by smaller component; partial maxima, so a hot key is no hot task.
     top = sizes.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("t"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    top = materialise(top.select("key", (-F.col("t.c")).alias("main")), "near-main")
-    opened = materialise(buckets.join(top, "key"), "near-open")
+    top = materialise(top.select("key", (-F.col("t.c")).alias("main")), "near-main", width)
+    if top.isEmpty():
+        return None
+    opened = materialise(buckets.join(top, "key"), "near-open", width)
     order = Window.partitionBy("key").orderBy("rep")
     pivots = opened.where("comp <> main").select("key", "rep", "comp")
-    picked = materialise(pivots.withColumn("r", F.row_number().over(order)).where(F.col("r") <= many).select("key", F.col("rep").alias("p"), F.col("comp").alias("pc")), "near-pivots")
+    picked = materialise(pivots.withColumn("r", F.row_number().over(order)).where(F.col("r") <= many).select("key", F.col("rep").alias("p"), F.col("comp").alias("pc")), "near-pivots", width)
     pairs = opened.join(picked, "key").where("comp <> pc").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
     rest = opened.join(picked.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
     return pairs, rest
@@ -139,35 +143,39 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "near-keys")
     buckets = materialise(keyed.join(shared, "key"), "near-buckets")
+    # What follows is about classes that share a key: usually few, so few tasks.
+    width = width_for(documents.sparkSession, buckets.count())
     pairs = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     rest = buckets.where("rep <> first").select("key", "rep")
     wanted = buckets.select("rep").distinct()
     # One text for each class that shares a key; classes that repeat a doc_id keep the row of their set.
     texts = None
-    verified = materialise(same, "near-links")
-    comps = materialise(star_components(verified), "near-components") if not verified.isEmpty() else None
-    many = 1
+    same = materialise(same, "near-same")
+    comps = materialise(star_components(same), "near-components") if not same.isEmpty() else None
+    many = 16
     while True:
-        pending = Table(_agree(pairs, signs, least), "near-candidates")
-        while not pending.df.isEmpty():
+        pending = _agree(pairs, signs, least)
+        # First one pair a class: most groups are joined by it. Then whatever still connects two components.
+        for first in (True, False):
+            labelled = _label(_label(pending, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
+            pending = materialise(labelled, "near-candidates", width)
+            if pending.isEmpty():
+                break
             if texts is None:
                 full = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text is not null")
-                texts = materialise(full.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "near-texts")
-            labelled = _label(_label(pending.df, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
-            todo = Table(labelled, "near-todo")
-            pending.drop()
-            now = materialise(todo.df.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-now")
-            found = _verify(now, texts, k, percent)
-            verified = materialise(verified.union(found), "near-links")
-            comps = materialise(star_components(verified), "near-components")
-            pending = Table(todo.df.join(now, ["a", "b"], "left_anti"), "near-candidates")
-            todo.drop()
-        pairs, rest = _pivot_pairs(_label(rest, comps, "rep", "comp"), many)
-        rest = materialise(rest, "near-rest")
-        pairs = materialise(pairs, "near-pairs")
-        if pairs.isEmpty():
+                texts = materialise(full.join(wanted.hint("merge"), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "near-texts")
+            now = pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if first else pending
+            found = materialise(_verify(materialise(now, "near-now", width), texts, k, percent), "near-links", width)
+            if found.isEmpty():
+                continue
+            stars = found if comps is None else comps.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)
+            comps = materialise(star_components(stars), "near-components", width)
+        opened = _pivot_pairs(_label(rest, comps, "rep", "comp"), many, width)
+        if opened is None:
             break
-        many *= 2
+        pairs, rest = opened
+        rest = materialise(rest, "near-rest", width)
+        many *= 8
     heads = classes.select("set_hash", "rep")
     heads = _label(heads, comps, "rep", "component").select("set_hash", "component")
     # A class may have a third of all rows: its one row comes in salted copies.
