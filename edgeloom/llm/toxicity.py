@@ -8,7 +8,7 @@
    within the classes are estimated from the same votes; a voter's evidence is divided by one plus
    its positive correlations with the others, so voters that say the same thing count once.
 3. A logistic regression over the mined features is trained on the posterior labels, labelled rows
-   counting with the mean of the label and the posterior.
+   counting mostly with their label (``Bounds.trust``).
 4. Every whole text is scored in Arrow batches: a weight a word, looked up once for each word of a text.
 
 Defined results: null, empty and unknown texts get the model's base score; without labels of both
@@ -48,6 +48,8 @@ class Bounds:
     voters: int = 120
     support: int = 4
     cache: int = 400_000
+    #: Share of a labelled row's target that is its label; the rest is the label model's posterior.
+    trust: float = 0.85
 
 
 @dataclass
@@ -127,19 +129,23 @@ def _count(sample: DataFrame) -> DataFrame:
 
 
 def _label_model(votes: np.ndarray, share: float, precision: np.ndarray, rounds: int = 50):
-    """Expectation maximisation over 0/1 votes (rows, voters): (posterior, rates, discounts)."""
+    """Expectation maximisation over 0/1 votes (rows, voters): (posterior, rates, discounts).
+
+    A voter that doesn't fire abstains: most are of one language and say nothing about the others. One
+    more voter, the last, fires where all others abstain and speaks for the clean class.
+    """
+    votes = np.column_stack([votes, votes.sum(axis=1) == 0]).astype(float)
+    precision = np.append(precision, share / 4)
     fired = votes.mean(axis=0)
     a = np.clip(precision * fired / max(share, 1e-6), 1e-3, 0.95)
-    b = np.clip((1 - precision) * fired / (1 - share), 1e-4, 0.5)
+    b = np.clip((1 - precision) * fired / (1 - share), 1e-4, 0.99)
     prior, discount = share, np.ones(votes.shape[1])
     p = np.zeros(len(votes))
     for i in range(rounds):
-        gain = np.log(a / b) / discount
-        none = np.log((1 - a) / (1 - b)) / discount
-        z = math.log(prior / (1 - prior)) + votes @ gain + (1 - votes) @ none
+        z = math.log(prior / (1 - prior)) + votes @ (np.log(a / b) / discount)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         a = np.clip((p @ votes + 0.5) / (p.sum() + 10), 1e-3, 0.95)
-        b = np.clip(((1 - p) @ votes + 0.02) / ((1 - p).sum() + 10), 1e-4, 0.5)
+        b = np.clip(((1 - p) @ votes + 0.02) / ((1 - p).sum() + 10), 1e-4, 0.99)
         prior = float(np.clip(p.mean(), share / 2, min(0.9, 2 * share)))
         if i in (4, 9, 19):  # correlations within the classes
             rho = np.zeros((votes.shape[1],) * 2)
@@ -151,10 +157,10 @@ def _label_model(votes: np.ndarray, share: float, precision: np.ndarray, rounds:
             np.fill_diagonal(rho, 0)
             rho[rho < 0.2] = 0  # noise
             discount = 1 + rho.sum(axis=1)
-    return p, list(zip(a.tolist(), b.tolist())), discount
+    return p, list(zip(a.tolist(), b.tolist()))[:-1], discount[:-1]
 
 
-def _logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, width: int, l2: float = 0.3, steps: int = 400):
+def _logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, width: int, l2: float = 1.0, steps: int = 400):
     """Logistic regression over sparse 0/1 rows, by gradient steps with momentum."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.array([c for r in rows for c in r], dtype=int)
@@ -193,12 +199,13 @@ def fit(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> M
     scale = (n[0] / neg) / (n[1] / pos)
     counts = _count(sample.where("toxic is not null")).where(F.col("pos") + F.col("neg") >= bounds.support)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-    z = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = counts.select("feature", "pos", "neg", odds.alias("odds"), z.alias("z")).orderBy(F.desc("z"), "feature").limit(bounds.features).collect()
+    z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    # Only signs of toxicity are features: a text without any gets the base score, whatever its topic.
+    best = counts.select("feature", "pos", "neg", odds.alias("odds"), z.alias("z")).where("odds > 0").orderBy(F.desc("z"), "feature").limit(bounds.features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
     for w in LEXICON:
         index.setdefault(f"w:{w}", len(index))
-    precise = {r["feature"]: (r["pos"] + 0.2) / (r["pos"] + scale * r["neg"] + 0.4) for r in best if r["odds"] > 0}
+    precise = {r["feature"]: (r["pos"] + 0.2) / (r["pos"] + scale * r["neg"] + 0.4) for r in best}
     voters = [f for f in sorted(precise, key=lambda f: (-precise[f] * min(1.0, next_count(best, index, f) / 20), f)) if precise[f] >= 0.6][: bounds.voters]
     voters += [f for f in (f"w:{w}" for w in LEXICON) if f not in voters] + [s for s in ("s:capitals", "s:exclaims") if s in index and s not in voters]
 
@@ -219,7 +226,7 @@ def fit(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> M
     share = n[1] / (n[0] + n[1])
     posterior, rates, discount = _label_model(votes, share, np.array([precise.get(f, 0.8) for f in voters]))
     target = posterior.copy()
-    target[known] = 0.5 * posterior[known] + 0.5 * label[known]
+    target[known] = (1 - bounds.trust) * posterior[known] + bounds.trust * label[known]
     weight = np.ones(len(rows))
     weight[known & (label == 0)] = min(5.0, max(0.2, scale))
     w, bias = _logistic(rows, target, weight, len(index))
