@@ -290,11 +290,12 @@ def dedup(documents: DataFrame, length: int = 100, k: int = 24, hot: int = 20_00
 
     asked = known.where("kind = 2").groupBy("doc", "nth").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
     given = materialise(_piece_bytes(texts.join(asked.hint("merge"), ["doc", "nth"]).select("doc", "nth", "text", "asked"), length), "suffix-bytes")
-    busy = [r["anchor"] for r in given.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "anchor").limit(10_000).collect()]
-    calm = given.where(~F.col("anchor").isin(busy)) if busy else given
+    busy = materialise(given.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "suffix-busy")
+    some = not busy.isEmpty()
+    calm = given.join(busy, "anchor", "left_anti") if some else given
     found = _repeats(calm.repartition("anchor").sortWithinPartitions("anchor", "doc", "nth", "start"), length)
-    if busy:
-        found = found.union(_by_window(given.where(F.col("anchor").isin(busy)), length))
+    if some:
+        found = found.union(_by_window(given.join(busy, "anchor", "left_semi"), length))
     found = found.union(known.where("kind = 1").select("doc", "nth", "start", "windows"))
     per = found.groupBy("doc", "nth").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
     # Both joins with the texts shuffle at every size, so that a plan's cost follows its input.
