@@ -70,7 +70,7 @@ def decisions(documents: DataFrame, found: DataFrame, min_words: int = 3, salts:
     mine = documents.where("text is not null and doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.filter(_coded(F.col("text"), min_words), lambda h: h.isNotNull()))).alias("line"))
     mine = mine.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = mine.join(each, ["line", "salt"]).select("doc_id", "line", (F.col("doc_id") == F.col("first_doc")).alias("first"))
+    hit = mine.join(each.hint("merge"), ["line", "salt"]).select("doc_id", "line", (F.col("doc_id") == F.col("first_doc")).alias("first"))
     # No more hashes than a document has lines.
     return hit.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("first"), F.col("line"))).alias("drop"), F.collect_set(F.when(F.col("first"), F.col("line"))).alias("once"))
 
@@ -83,7 +83,8 @@ def dedup(documents: DataFrame, min_sites: int = 10, min_words: int = 3) -> Data
     found = materialise(boilerplate(documents, min_sites, min_words), "boilerplate")
     taken = materialise(decisions(documents, found, min_words), "line-decisions")
     taken = taken.select(F.col("doc_id").alias("__doc"), F.col("drop").alias("__drop"), F.col("once").alias("__once"))
-    rows = documents.join(taken, documents["doc_id"] == taken["__doc"], "left")
+    # A merge at every size: what is broadcast while it is small would be another plan when it isn't.
+    rows = documents.join(taken.hint("merge"), documents["doc_id"] == taken["__doc"], "left")
     parts, codes = _lines(F.col("text")), _coded(F.col("text"), min_words)
     touched = F.col("text").isNotNull() & F.col("__doc").isNotNull()
     rows = rows.withColumn("__p", F.when(touched, parts)).withColumn("__c", F.when(touched, codes))
