@@ -159,9 +159,11 @@ def negatives_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("negatives_with_duplicates")
 def negatives_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph with fewer non-edges than are asked for: the rest repeats accepted pairs."""
-    e = user_edges(spark, sf_dir).where("src < 40 and trg < 40")
+    e = user_edges(spark, sf_dir)
     population = materialise(sampling.stubs(graph.symmetric(e), False), "stubs")
-    return sampling.negatives(population, e, 1000, max_rounds=3, pad=True)
+    n = population.count()
+    # As many as there are pairs: more than there are non-edges, whatever the graph.
+    return sampling.negatives(population, e, n * (n - 1) // 2, max_rounds=3, pad=True)
 
 
 @query("all_negatives", with_("usym", "SELECT a.u AS src, b.u AS trg FROM (SELECT DISTINCT u FROM usym) a JOIN (SELECT DISTINCT u FROM usym) b ON a.u < b.u WHERE NOT EXISTS (SELECT 1 FROM usym s WHERE s.u = a.u AND s.v = b.u)"))
@@ -347,6 +349,13 @@ def ranking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_by_topology("commonNeighbors", train_sym(spark, sf_dir), train_degrees(spark, sf_dir), focal, 10).select("u", "v", "rank")
 
 
+@query("ranking_candidates_all")
+def ranking_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking driver for every node."""
+    deg = train_degrees(spark, sf_dir)
+    return ranking.rank_by_topology("commonNeighbors", train_sym(spark, sf_dir), deg, deg.select("u"), 10).select("u", "v", "rank")
+
+
 _KNN = """SELECT u, v, r AS rank FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY s DESC, v) AS r FROM (
   SELECT a.vec_id AS u, b.vec_id AS v, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + {bonus}, 9) AS s FROM embeddings a, embeddings b)) WHERE r <= 10"""
 
@@ -480,7 +489,7 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("personalised_pagerank")
 def personalised_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     sym = graph.symmetric(user_edges(spark, sf_dir))
-    return features.personalised_pagerank(sym, graph.degrees(sym).where("u % 30 = 0").select(F.col("u").alias("node")), 10)
+    return features.personalised_pagerank(sym, graph.degrees(sym).select(F.col("u").alias("node")), 10)
 
 
 @query("pair_features_local", with_("near ends", """SELECT e.src, e.trg, CAST(n.cn AS DOUBLE) AS com_ne, round(n.cn / CAST(greatest(e.ki + e.kj - n.cn, 1) AS DOUBLE), 6) AS jacc_coeff, round(n.ra, 6) AS res_alloc_ind, round(n.aat, 6) AS adam_adar,
@@ -585,6 +594,14 @@ def rwr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.random_walk_restart(sym, seeds, 0.15, 3).withColumn("w", F.round("w", 6))
 
 
+@query("rwr_matrix_all")
+def rwr_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk from every node."""
+    sym = graph.symmetric(user_edges(spark, sf_dir))
+    seeds = graph.degrees(sym).select(F.col("u").alias("node"))
+    return walks.random_walk_restart(sym, seeds, 0.15, 3).withColumn("w", F.round("w", 6))
+
+
 @query("second_order_graph", with_("usym", """SELECT x.u AS a, x.v AS b, y.v AS c, CASE WHEN x.u = y.v THEN 2.0::DOUBLE WHEN EXISTS (SELECT 1 FROM usym t WHERE t.u = x.u AND t.v = y.v) THEN 1.0 ELSE 0.5 END AS w
 FROM usym x JOIN usym y ON y.u = x.v WHERE x.u % 10 = 0"""))
 def second_order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,6 +609,11 @@ def second_order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.second_order_graph(sym, 0.5, 2.0).where("a % 10 = 0")
 
 
+@query("second_order_graph_all")
+def second_order_graph_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.second_order_graph(graph.symmetric(user_edges(spark, sf_dir)), 0.5, 2.0)
+
+
 def _embedding_query(name: str, get=user_edges, **options) -> None:
     @query(f"embed_{name}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
