@@ -75,15 +75,22 @@ def dense(sym: DataFrame, max_nodes: int) -> tuple[list[int], np.ndarray]:
     return ids, a
 
 
-def closeness(sym: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
-    """(node, cc): closeness by breadth-first search from each source, scaled by the share it reaches."""
+def closeness(sym: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, cc): closeness by breadth-first search from each source, scaled by the share it reaches.
+
+    The search ends when nothing new is reached, or after ``most`` hops.
+    """
     sym = materialise(sym, "cc-graph")
     n = sym.select("u").distinct().count()
-    seen = materialise(sources.select(F.col("node").alias("s"), "node", F.lit(0).alias("d")), "cc")
-    front = seen
-    for d in range(1, most + 1):
+    front = materialise(sources.select(F.col("node").alias("s"), "node", F.lit(0).alias("d")), "cc")
+    seen, before, d = front, None, 0
+    while most is None or d < most:
+        d += 1
         step = front.join(sym.select(F.col("u").alias("node"), "v"), "node").select("s", F.col("v").alias("node")).distinct()
-        front = materialise(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").withColumn("d", F.lit(d)), "cc")
+        # Neighbours of a level are on it, next to it or new.
+        for known in (front, before):
+            step = step if known is None else step.join(known.select("s", "node"), ["s", "node"], "left_anti")
+        before, front = front, materialise(step.withColumn("d", F.lit(d)), "cc")
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -144,8 +151,8 @@ def node_features(sym: DataFrame, rounds: int = 20) -> DataFrame:
     return out.select("u", "k", (F.col("k") / F.lit(float(max(n - 1, 1)))).alias("deg_cent"), t.alias("triangles"), F.when(F.col("k") > 1, 2.0 * t / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("clust"), "ave_neigh_deg", "pr", "ec")
 
 
-def pair_features(sym: DataFrame, pairs: DataFrame, hops: int = 4) -> DataFrame:
-    """Local features of (src, trg) pairs; one score column each, short_path null beyond ``hops``."""
+def pair_features(sym: DataFrame, pairs: DataFrame, hops: int | None = None) -> DataFrame:
+    """Local features of (src, trg) pairs; one score column each, short_path null without a path (of ``hops`` at most, if given)."""
     deg = materialise(degrees(sym), "pair-degrees")
     out = pairs.select("src", "trg").distinct()
     for column, name in (("com_ne", "commonNeighbors"), ("jacc_coeff", "jaccardIndex"), ("res_alloc_ind", "resourceAllocation"), ("adam_adar", "adamicAdarTextbook"), ("pref_attach", "preferentialAttachment"), ("LHN", "leichtHolmeNewman")):

@@ -152,19 +152,30 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return canonical_edges(tree.select("u", "p"))
 
 
-def hop_distances(sym: DataFrame, pairs: DataFrame, most: int = 4) -> DataFrame:
-    """(src, trg, hops) of each pair, null if more than ``most`` apart. Only the pairs' sources expand."""
+def hop_distances(sym: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, trg, hops) of each pair, null if no path joins them or, with ``most``, none of so many hops.
+
+    Only the pairs' sources expand, each until its pairs are met or nothing new is reached.
+    """
     want = materialise(pairs.select("src", "trg").distinct(), "hop-pairs")
     sym = materialise(sym, "hop-graph")
-    at = want.select(F.col("src").alias("s"), F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0))
-    seen = materialise(at, "hops")
-    front = seen
-    for d in range(1, most + 1):
-        step = front.join(sym.select(F.col("u").alias("node"), "v"), "node").select("s", F.col("v").alias("node")).distinct()
-        front = materialise(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").withColumn("hops", F.lit(d)), "hops")
-        seen = seen.union(front)
-    near = seen.select(F.col("s").alias("src"), F.col("node").alias("trg"), "hops")
-    return want.join(near, ["src", "trg"], "left")
+    front = materialise(want.select(F.col("src").alias("s"), F.col("src").alias("node")).distinct(), "hops")
+    met = want.where("src = trg").withColumn("hops", F.lit(0))
+    left = materialise(want.where("src <> trg"), "hop-left")
+    before, d = None, 0
+    while (most is None or d < most) and not left.isEmpty():
+        d += 1
+        step = front.join(left.select(F.col("src").alias("s")).distinct(), "s", "left_semi").join(sym.select(F.col("u").alias("node"), "v"), "node").select("s", F.col("v").alias("node")).distinct()
+        # Neighbours of a level are on it, next to it or new.
+        for known in (front, before):
+            step = step if known is None else step.join(known, ["s", "node"], "left_anti")
+        before, front = front, materialise(step, "hops")
+        if front.isEmpty():
+            break
+        hit = materialise(left.join(front.select(F.col("s").alias("src"), F.col("node").alias("trg")), ["src", "trg"], "left_semi"), "hop-met")
+        met = met.union(hit.withColumn("hops", F.lit(d)))
+        left = materialise(left.join(hit, ["src", "trg"], "left_anti"), "hop-left")
+    return want.join(met, ["src", "trg"], "left")
 
 
 def row_normalise(entries: DataFrame, least: float = 1e-32) -> DataFrame:

@@ -463,6 +463,12 @@ def short_path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hop_distances(train_sym(spark, sf_dir), test_edges(spark, sf_dir).where("src % 20 = 0"), 3)
 
 
+@query("short_path")
+def short_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops of every held-out pair in the training graph, null only if no path joins them."""
+    return graph.hop_distances(train_sym(spark, sf_dir), test_edges(spark, sf_dir))
+
+
 @query("closeness_small", with_("usym udeg", """, hop(s, node, d) AS (SELECT u, u, 0 FROM udeg WHERE u % 10 = 0 UNION SELECT h.s, t.v, h.d + 1 FROM hop h JOIN usym t ON t.u = h.node WHERE h.d < 6),
 near AS (SELECT s, node, min(d) AS d FROM hop GROUP BY s, node)
 SELECT s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1) / CAST((SELECT count(*) FROM udeg) - 1 AS DOUBLE) ELSE 0 END, 6) AS cc FROM near GROUP BY s""").replace("\n, hop", ",\nhop"))
@@ -471,6 +477,13 @@ def closeness_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.closeness(sym, graph.degrees(sym).where("u % 10 = 0").select(F.col("u").alias("node")), 6).withColumn("cc", F.round("cc", 6))
 
 
+@query("closeness")
+def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closeness of every node over all that it reaches."""
+    sym = graph.symmetric(user_edges(spark, sf_dir))
+    return features.closeness(sym, graph.degrees(sym).select(F.col("u").alias("node"))).withColumn("cc", F.round("cc", 6))
+
+
 @query("betweenness")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.betweenness(graph.symmetric(user_edges(spark, sf_dir)))

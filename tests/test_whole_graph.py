@@ -64,3 +64,30 @@ def test_negatives_are_padded_on_the_whole_graph(run):
     free = {(a, b) for a in NEAR for b in NEAR if a < b and b not in NEAR[a]}
     assert len(got) == len(NEAR) * (len(NEAR) - 1) // 2
     assert {(r["src"], r["trg"]) for r in got} == free
+
+
+def levels(s):
+    """Hops from ``s`` to all that it reaches."""
+    seen, front = {s: 0}, [s]
+    while front:
+        front = [v for u in front for v in NEAR[u] if seen.setdefault(v, seen[u] + 1) == seen[u] + 1 and v not in (s, *front)]
+        front = list(dict.fromkeys(front))
+    return seen
+
+
+def test_paths_of_any_length(run, spark, monkeypatch):
+    pairs = [(16, 43), (43, 0), (0, 51), (50, 51), (12, 42), (16, 41), (7, 7), (7, 99)]
+    monkeypatch.setattr(graph_queries, "test_edges", lambda s, d: spark.createDataFrame(pairs, "src long, trg long"))
+    got = {(r["src"], r["trg"]): r["hops"] for r in run("short_path")}
+    assert got == {(a, b): levels(a).get(b) for a, b in pairs} and max(x or 0 for x in got.values()) > 4
+    bounded = graph.hop_distances(graph.symmetric(as_edges(spark, ALL)), spark.createDataFrame(pairs, "src long, trg long"), 3)
+    assert {(r["src"], r["trg"]): r["hops"] for r in bounded.collect()} == {k: v if v is not None and v <= 3 else None for k, v in got.items()}
+
+
+def test_closeness_of_every_node(run):
+    want = {}
+    for s in NEAR:
+        d = levels(s)
+        want[s] = (len(d) - 1) ** 2 / sum(d.values()) / (len(NEAR) - 1)
+    assert max(max(levels(s).values()) for s in NEAR) > 6
+    assert {r["node"]: r["cc"] for r in run("closeness")} == pytest.approx(want, abs=1e-6)
