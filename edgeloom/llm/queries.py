@@ -57,12 +57,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_dedup(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = line_dedup.dedup(docs)
+    rows = line_dedup.dedup(docs, **options)
     return rows.select("doc_id", "__lines.n_lines", "__lines.n_removed", F.sha2(F.encode(F.coalesce("__lines.text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup(spark, sf_dir)
+
+
+def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word counts; ``op6_line_dedup`` and its SQL leave out those of one and two."""
+    return _line_dedup(spark, sf_dir, min_words=1)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,7 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_url_filter, op3_toxicity, op4_fingerprint, op5_mixing, op6_line_dedup, op7_suffix_dedup, op8_quality, op9_near_dup, op10_packing]
+    found = [op1_language_id, op2_url_filter, op3_toxicity, op4_fingerprint, op5_mixing, op6_line_dedup, op6_line_dedup_all, op7_suffix_dedup, op8_quality, op9_near_dup, op10_packing]
     return {f.__name__: f for f in found}
 
 
