@@ -47,7 +47,7 @@ def tokens(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def sketch(rows: DataFrame, text: str, out: str, k: int = 5, sketches: int = 16, tuple_size: int = 2) -> DataFrame:
+def sketch(rows: DataFrame, text: str, out: str, k: int = 5, sketches: int = 128, tuple_size: int = 2) -> DataFrame:
     """``rows`` with an array of ``sketches`` (a power of 2) longs in column ``out``.
 
     Each intermediate array is a column that the next one mentions more than once: what is mentioned
