@@ -3,11 +3,16 @@
 State is an edge table (u, v). Large-star links every larger neighbour of a node to the smallest
 node of its neighbourhood; small-star links the smaller neighbours. Both are a grouped minimum and
 a join back, so nothing collects a neighbourhood; the edges end as one star per component. The
-number of rounds is logarithmic in practice. Every round is written to the shared folder.
+number of rounds is logarithmic in practice. Every round is written to the shared folder. With ``local``
+each task first turns the edges it has into a forest of stars, as a combiner: a graph whose edges fit
+into one task is done by that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +43,34 @@ def _is_done(edges: DataFrame) -> bool:
     return per.where("points > 1 or (points > 0 and low = 0)").isEmpty()
 
 
-def star_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _forest(edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """Edges (u, v) of longs with the same components: the stars of the edges a task has, ``most`` at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def stars() -> pd.DataFrame:
+            return pd.DataFrame([(x, find(x)) for x in root if x != find(x)], columns=["u", "v"], dtype="int64")
+
+        for b in batches:
+            for u, v in zip(b["u"].tolist(), b["v"].tolist()):
+                x, y = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if len(root) > most:
+                yield stars()
+                root.clear()
+        yield stars()
+
+    return edges.mapInPandas(run, "u long, v long")
+
+
+def star_components(edges: DataFrame, local: bool = False) -> DataFrame:
     """(node, component) of every node of an undirected edge table's first two columns.
 
     ``component`` is the smallest node of the component. A node with a self-loop alone is its own
@@ -50,11 +82,12 @@ def star_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     width = width_for(edges.sparkSession, state.df.count())
     loops = state.df.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     links = state.df.where("u <> v")
-    for _ in range(max_rounds):
-        if _is_done(links):
-            break
+    combined = (lambda df: _forest(df)) if local else (lambda df: df)
+    if local:
+        links = Table(combined(links), "star", width).df
+    while not _is_done(links):
         step = Table(_star(links, True, width), "star", width)
-        state = Table(_star(step.df, False, width), "star", width)
+        state = Table(combined(_star(step.df, False, width)), "star", width)
         step.drop()
         links = state.df
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
