@@ -1,19 +1,21 @@
 """Toxicity by weak supervision.
 
-1. Mine features from a bounded sample of labelled rows: words, and word beginnings (patterns), that
-   are much more frequent in texts labelled toxic.
-2. The strongest of them, a fixed lexicon and patterns of style are voters. A generative label model
+1. Mine candidate signs from a bounded sample of labelled rows: words, and word beginnings (patterns),
+   that are more frequent in texts labelled toxic.
+2. The precise ones, a fixed lexicon and patterns of style are voters. A generative label model
    estimates by expectation maximisation how often each voter fires on either class (its accuracy),
-   without looking at the labels, over a bounded sample of labelled and unlabelled texts. Correlations
-   within the classes are estimated from the same votes; a voter's evidence is divided by one plus
-   its positive correlations with the others, so voters that say the same thing count once.
-3. A logistic regression over the mined features is trained on the posterior labels, labelled rows
-   counting mostly with their label (``Bounds.trust``).
+   from the votes alone. Correlations within the classes are estimated from the same votes; a voter's
+   evidence is divided by one plus its positive correlations with the others, so voters that say the same
+   thing count once.
+3. A logistic regression over all signs is trained on the posterior labels. The labels themselves are no
+   target: they pick the sample and the voters, start the estimates, and give the share of toxic texts.
 4. Every whole text is scored in Arrow batches: a weight a word, looked up once for each word of a text.
 
 Defined results: null, empty and unknown texts get the model's base score; without labels of both
-kinds every score is 0; repeated rows give repeated rows; a doc_id with several labels counts as
-toxic if any is; ties are resolved by name; other columns are ignored.
+kinds every score is 0; repeated rows give repeated rows, and a labelled doc_id with several texts is
+learned from the first of them; a doc_id with several labels counts as toxic if any is; null ids and
+labels are not learned from; ties are resolved by name; texts of any length are read whole; empty tables
+give empty results; other columns are kept by ``clean`` and ignored otherwise, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +42,15 @@ LEXICON = ("idiot", "moron", "stupid", "dumb", "scum", "trash", "loser", "pathet
 
 @dataclass(frozen=True)
 class Bounds:
-    """Bounds of the samples (rows) and of the model (features, voters)."""
+    """The sample of labelled rows (toxic, other), and what a sign needs to be a feature or a voter."""
 
     positives: int = 2000
     negatives: int = 4000
-    unlabelled: int = 4000
-    features: int = 3000
-    voters: int = 120
     support: int = 4
-    cache: int = 400_000
-    #: Share of a labelled row's target that is its label; the rest is the label model's posterior.
-    trust: float = 0.85
+    feature_z: float = 1.0
+    voter_z: float = 3.0
+    precise: float = 0.75
+    cache: int = 100_000
 
 
 @dataclass
@@ -179,35 +180,32 @@ def _logistic(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, wid
 def fit(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:
     """Fit on ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic), both of the training part."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+    marked = materialise(marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "toxicity-marks")
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_000))
-    part = lambda most, of: int(min(1.0, most / of) * 1_000_000)
-    picked = marked.where(draw < F.when(F.col("toxic") == 1, part(bounds.positives, n[1])).otherwise(part(bounds.negatives, n[0])))
-    picked = materialise(picked, "toxicity-labels")  # at most positives + negatives rows are expected
-    total = documents.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    texts = documents.where("text is not null").select("doc_id", "text")
-    drawn = texts.where(draw < part(bounds.unlabelled, max(total, 1))).join(F.broadcast(picked), "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("int").alias("toxic"))
-    sample = materialise(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").union(drawn), "toxicity-sample")
-
-    balance = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = balance.get(1, 0), balance.get(0, 0)
-    if not pos or not neg:
-        return Model()
+    draw = F.xxhash64("doc_id", F.lit("toxicity sample"))
+    picked = marked.where("toxic = 1").orderBy(draw, "doc_id").limit(bounds.positives).union(marked.where("toxic = 0").orderBy(draw, "doc_id").limit(bounds.negatives))
+    picked = materialise(picked, "toxicity-labels")  # at most positives + negatives rows, so it is broadcast
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = materialise(sample, "toxicity-sample")
+
+    pos, neg = min(n[1], bounds.positives), min(n[0], bounds.negatives)
     # Back to the labels' own proportions, of which the sample may have changed the balance.
     scale = (n[0] / neg) / (n[1] / pos)
-    counts = _count(sample.where("toxic is not null")).where(F.col("pos") + F.col("neg") >= bounds.support)
+    counts = _count(sample).where(F.col("pos") + F.col("neg") >= bounds.support)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     # Only signs of toxicity are features: a text without any gets the base score, whatever its topic.
-    best = counts.select("feature", "pos", "neg", odds.alias("odds"), z.alias("z")).where("odds > 0").orderBy(F.desc("z"), "feature").limit(bounds.features).collect()
+    best = counts.select("feature", "pos", "neg", z.alias("z")).where(F.col("z") >= bounds.feature_z).orderBy(F.desc("z"), "feature").collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
     for w in LEXICON:
         index.setdefault(f"w:{w}", len(index))
     precise = {r["feature"]: (r["pos"] + 0.2) / (r["pos"] + scale * r["neg"] + 0.4) for r in best}
-    voters = [f for f in sorted(precise, key=lambda f: (-precise[f] * min(1.0, next_count(best, index, f) / 20), f)) if precise[f] >= 0.6][: bounds.voters]
-    voters += [f for f in (f"w:{w}" for w in LEXICON) if f not in voters] + [s for s in ("s:capitals", "s:exclaims") if s in index and s not in voters]
+    started = {r["feature"]: (r["pos"] + 0.2) / (r["pos"] + r["neg"] + 0.4) for r in best}
+    voters = [r["feature"] for r in best if r["z"] >= bounds.voter_z and precise[r["feature"]] >= bounds.precise]
+    voters += [f for f in (f"w:{w}" for w in LEXICON) if f not in precise] + [x for x in ("s:capitals", "s:exclaims") if x in index and x not in voters]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -222,22 +220,13 @@ def fit(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> M
         for c in r:
             if c in ids:
                 votes[i, ids[c]] = 1.0
-    known = ~np.isnan(label)
-    share = n[1] / (n[0] + n[1])
-    posterior, rates, discount = _label_model(votes, share, np.array([precise.get(f, 0.8) for f in voters]))
-    target = posterior.copy()
-    target[known] = (1 - bounds.trust) * posterior[known] + bounds.trust * label[known]
-    weight = np.ones(len(rows))
-    weight[known & (label == 0)] = min(5.0, max(0.2, scale))
-    w, bias = _logistic(rows, target, weight, len(index))
+    posterior, rates, discount = _label_model(votes, pos / (pos + neg), np.array([started.get(f, 0.8) for f in voters]))
+    weight = np.where(label == 0, scale, 1.0)  # the sample's balance, undone
+    w, bias = _logistic(rows, posterior, weight, len(index))
     weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-4}
     return Model(weights, float(bias), voters, rates, discount.tolist())
 
 
-def next_count(best: list, index: dict[str, int], feature: str) -> int:
-    return best[index[feature]]["pos"]
-
-
 def score(documents: DataFrame, model: Model, keep: list[Column], threshold: float = 0.3, bounds: Bounds = Bounds()) -> DataFrame:
     """``keep`` columns of every row, with score and predicted of its ``text``."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -252,3 +241,16 @@ def score(documents: DataFrame, model: Model, keep: list[Column], threshold: flo
             yield b
 
     return rows.mapInPandas(run, schema)
+
+
+def clean(documents: DataFrame, model: Model, threshold: float = 0.3, bounds: Bounds = Bounds()) -> DataFrame:
+    """``documents`` without the rows predicted toxic. Every column passes once, as Arrow."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        say = shared.value.scorer(bounds.cache)
+        for b in batches:
+            yield b.filter(pa.array([say(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
