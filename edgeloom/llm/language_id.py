@@ -3,11 +3,13 @@
 A known word scores by its log frequency in each language; an unseen word falls back to the longest
 order of character n-grams of which any is known, then to shorter ones. A text's language is the
 one with the largest sum. The model is fitted on a bounded sample of labelled rows and so has a
-bounded size (see ``Bounds``); scoring runs over every whole text, in Arrow batches.
+bounded size (see ``Bounds``); all its languages, words and n-grams count. Scoring runs over every
+whole text, in Arrow batches.
 
 Defined results: null text or no letters gives ``und`` with score 0; without any labelled row every
 text is ``und``; ties go to the language that more training rows have, then to the smaller name;
-repeated rows give repeated rows; other columns are ignored, whatever their names.
+repeated rows give repeated rows; texts of any length are read whole; empty tables give empty results;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +32,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Bounds:
-    """Bounds of the sample and of the model: documents, words and n-grams of an order per language."""
+    """The sample: labelled rows of a language, and of all languages together; the longest n-grams."""
 
     documents: int = 2000
-    languages: int = 500
-    words: int = 50_000
-    grams: int = 20_000
+    rows: int = 100_000
     order: int = 5
     cache: int = 300_000
 
@@ -53,7 +53,7 @@ class Model:
                 for w, x in v:
                     for g in self.pieces(w, n):
                         c[g] += x
-                grams[k] = dict(sorted(c.items(), key=lambda t: (-t[1], t[0]))[: bounds.grams])
+                grams[k] = dict(c)
             self.grams[n] = self._logs(grams)
 
     @staticmethod
@@ -112,17 +112,18 @@ class Model:
 def fit(labelled: DataFrame, bounds: Bounds = Bounds()) -> Model:
     """Fit on (text, lang) rows with neither null; ``key`` decides which rows the sample takes."""
     rows = labelled.where("text is not null and lang is not null").select("key", "text", "lang")
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not per:
         return Model({}, {}, bounds)
-    part = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(int(min(1.0, bounds.documents / n) * 1_000_000)))])
+    each = max(1, min(bounds.documents, bounds.rows // len(per)))
+    part = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(int(min(1.0, each / n) * 1_000_000)))])
     sample = rows.where(F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(1_000_000)) < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0)))
     said = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = materialise(said.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "language-words")
     top: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for k in per:
-        for r in counts.where(F.col("lang") == k).orderBy(F.desc("n"), "word").limit(bounds.words).collect():
-            top[k].append((r["word"], r["n"]))
+    # As many words as the sample has, at most.
+    for r in counts.orderBy("lang", "word").collect():
+        top[r["lang"]].append((r["word"], r["n"]))
     return Model({k: top[k] for k in per}, per, bounds)
 
 
