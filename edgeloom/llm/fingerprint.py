@@ -1,17 +1,19 @@
 """Document fingerprints by order MinHash, in DataFrame operations only.
 
 A text's k-mers (k words, split at single blanks) are numbered by occurrence, so a repeated k-mer is
-a new element each time. One 64-bit hash orders the elements on a ring; a sketch's hash order is that ring begun at one
-of ``sketches`` evenly spaced points. Each sketch selects the ``tuple_size`` minimal elements in its
+a new element each time. Each of ``rings`` independent hashes orders the elements on a ring of its own; a
+sketch's hash order is one of the rings begun at one of evenly spaced points. Each sketch selects the ``tuple_size`` minimal elements in its
 order, restores their order in the text and hashes that tuple of k-mers. Equal texts have equal
 fingerprints, and moving passages changes tuples although the set of k-mers stays, so the share of
 equal sketches follows edit distance rather than overlap.
 
-All of it happens within a row, on arrays: hashes and positions are packed into one long (40 bits of
-hash, 24 of position) and sorted as primitives. Positions count modulo 2^24.
+All of it happens within a row, on arrays: hashes and positions are packed into one long (33 bits of
+hash, 31 of position, which is any array's length) and sorted as primitives.
 
 Defined results: a null text is empty; a text without words has the fingerprint of nothing, which
-equals only itself; fewer than k words make one k-mer of them all.
+equals only itself; fewer than k words make one k-mer of them all; null ids come first; rows of one doc_id
+follow each other by text, repeated rows each have the next of them as their next; the last row's next is
+the first; texts of any length are read whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window
 
 from edgeloom.llm.common import WORD
 
-_POS = 24
+_POS = 31
 _MASK = (1 << _POS) - 1
 
 
@@ -47,8 +49,8 @@ def tokens(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def sketch(rows: DataFrame, text: str, out: str, k: int = 5, sketches: int = 128, tuple_size: int = 2) -> DataFrame:
-    """``rows`` with an array of ``sketches`` (a power of 2) longs in column ``out``.
+def sketch(rows: DataFrame, text: str, out: str, k: int = 5, sketches: int = 128, tuple_size: int = 2, rings: int = 4) -> DataFrame:
+    """``rows`` with an array of ``sketches`` longs in column ``out``; both numbers are powers of 2.
 
     Each intermediate array is a column that the next one mentions more than once: what is mentioned
     once may be inlined, and would be computed again for every element of a lambda.
@@ -75,20 +77,24 @@ def sketch(rows: DataFrame, text: str, out: str, k: int = 5, sketches: int = 128
         lambda i: _pack(F.xxhash64(_key(F.get(r, i)), i - a + 1), F.get(r, i))))
     rows = rows.select(*keep, F.when(F.size(r) == 0, F.col(u)).otherwise(F.sort_array(F.concat(F.col(u), F.flatten(runs)))).alias(e))
     size = F.size(e)
-    arc = (1 << 64) // sketches
+    rings = min(rings, sketches)
+    each = sketches // rings
+    arc = (1 << 64) // each
     steps = F.sequence(F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
 
-    def one(halves: Column, point: Column) -> Column:
+    def one(ring: Column, halves: Column, point: Column) -> Column:
         # The number of elements before the arc's first point, by halves; the ring closes at the end.
-        before = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(e, at + h - 1) < point, at + h).otherwise(at))
+        before = F.aggregate(halves, F.lit(0), lambda at, h: F.when(F.get(ring, at + h - 1) < point, at + h).otherwise(at))
         # Text order: place first, hash behind it.
-        placed = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_MASK)), 39).bitwiseOR(F.shiftrightunsigned(x, _POS + 1))
-        chosen = _let(before, lambda b: F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_size), size) - 1), lambda j: placed(F.get(e, F.pmod(b + j, size)))))
-        return F.xxhash64(F.transform(F.sort_array(chosen), lambda x: x.bitwiseAND(F.lit((1 << 39) - 1))))
+        placed = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_MASK)), 32).bitwiseOR(F.shiftrightunsigned(x, 32))
+        chosen = _let(before, lambda b: F.transform(F.sequence(F.lit(0), F.least(F.lit(tuple_size), size) - 1), lambda j: placed(F.get(ring, F.pmod(b + j, size)))))
+        return F.xxhash64(F.transform(F.sort_array(chosen), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
 
-    points = F.array(*[F.lit((i - sketches // 2) * arc).cast("long") for i in range(sketches)])
+    points = F.array(*[F.lit((i - each // 2) * arc).cast("long") for i in range(each)])
     powers = F.transform(steps, lambda h: F.call_function("shiftleft", F.lit(1), h))
-    got = _let(powers, lambda halves: F.transform(points, lambda p: one(halves, p)))
+    # The first ring is the elements' own order, the others hash them again, each with its number.
+    order = lambda r: F.col(e) if r == 0 else F.sort_array(F.transform(e, lambda x: _pack(F.xxhash64(_key(x), F.lit(r)), x)))
+    got = _let(powers, lambda halves: F.flatten(F.array(*[_let(order(r), lambda ring: F.transform(points, lambda p: one(ring, halves, p))) for r in range(rings)])))
     return rows.select(*keep, F.when(size == 0, F.array_repeat(F.lit(0).cast("long"), sketches)).otherwise(got).alias(out))
 
 
