@@ -24,3 +24,11 @@ def words(text: Column) -> Column:
     """The words of a text in order; none if it is null. Only the ends can give empty parts, so they are cut."""
     cut = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, SPACE))
+
+
+def spare_prefix(columns: list[str]) -> str:
+    """A beginning of names that none of ``columns`` has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

@@ -3,7 +3,7 @@
 A document's expected number of copies is its source's target over its source's size; the whole part
 is taken for sure, the fraction is an inclusion probability. Probabilities are moved in the null
 space of the constraints - sum of tokens and number of documents of the source - until each is 0 or
-1 (flight). A flight runs over blocks of a source's documents, in parallel, and leaves at most two
+1 (flight), the largest documents first, so that what is left to land is small. A flight runs over blocks of a source's documents, in parallel, and leaves at most two
 fractions a block; those of many blocks meet in the next round's blocks, until one block a source is
 left, whose last fractions are rounded to keep both sums nearest (landing). A source with a third of all documents
 is simply many blocks.
@@ -11,7 +11,9 @@ is simply many blocks.
 Draws come from hashes of doc_id and seed, so reruns agree. Texts never travel.
 
 Defined results: null text has size 0; null sources are one source, the last; empty tables give
-empty results; repeated rows are documents of their own, told apart by a number within equal rows.
+empty results; repeated rows are documents of their own, told apart by a number within equal rows;
+a text of any length is counted whole and is one document; documents of equal size fly in the order of
+their hashes; other columns are kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from edgeloom.llm.common import WORD
-from edgeloom.storage import lookup_join, materialise
+from edgeloom.llm.common import WORD, spare_prefix
+from edgeloom.operators.graph import global_rank
+from edgeloom.storage import materialise
 
 _EPS = 1e-9
 
@@ -42,22 +45,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
     That is min(cap * size, level * weight) for the one level at which targets add up: sources by
     rising cap/weight are cut first.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     k = len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(k)) + 1).cast("int"))
-    t = sizes.select("source", "source_size", w.alias("w"), (F.lit(float(cap)) * F.col("source_size")).alias("most"))
-    ratio = (F.col("most") / F.col("w")).alias("ratio")
-    every = Window.partitionBy()
-    t = t.select("*", ratio, F.sum("source_size").over(every).alias("total"), F.sum("w").over(every).alias("all_w"))
-    up = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # With this source and all below it cut, the rest shares at this level:
-    t = t.select("*", F.sum("most").over(up).alias("cut"), F.sum("w").over(up).alias("cut_w"))
-    # A source is cut if even the level without it, its lower ones cut, is above its ratio.
-    level = (F.col("total") - (F.col("cut") - F.col("most"))) / (F.col("all_w") - (F.col("cut_w") - F.col("w")))
-    t = t.select("*", (level >= F.col("ratio")).alias("is_cut"))
-    sums = t.select("*", F.sum(F.when(F.col("is_cut"), F.col("most")).otherwise(0.0)).over(every).alias("taken"), F.sum(F.when(F.col("is_cut"), 0.0).otherwise(F.col("w"))).over(every).alias("left_w"))
-    share = (F.col("total") - F.col("taken")) * F.col("w") / F.greatest("left_w", F.lit(1e-12))
-    return sums.select("source", "source_size", F.when(F.col("is_cut"), F.col("most")).otherwise(share).alias("target"))
+    given = F.array(*[F.lit(float(x)) for x in weights])
+    ranked = global_rank(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "nth_source")
+    weight = F.element_at(given, (F.pmod(F.col("nth_source"), F.lit(k)) + 1).cast("int")).alias("w")
+    t = materialise(ranked.select("source", "source_size", weight, (F.lit(float(cap)) * F.col("source_size")).alias("most")), "mix-weights")
+    total = t.agg(F.sum("source_size")).first()[0] or 0
+    # Sources above the level are cut, what they leave raises it for the others; it only rises, so this ends.
+    level, cut = 0.0, -1
+    while True:
+        is_cut = F.col("most") <= F.lit(level) * F.col("w")
+        got = t.agg(F.count_if(is_cut).alias("n"), F.sum(F.when(is_cut, F.col("most")).otherwise(0.0)).alias("taken"), F.sum(F.when(is_cut, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if got["n"] == cut or not got["w"]:
+            break
+        cut, level = got["n"], (total - got["taken"]) / got["w"]
+    return t.select("source", "source_size", F.least(F.col("most"), F.lit(float(level)) * F.col("w")).alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -125,7 +127,7 @@ def _pass(rows: DataFrame, last: bool) -> DataFrame:
     """One round: every (source, block) flies; the last round lands as well."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["draw", "id", "nth"], kind="stable").reset_index(drop=True)
+        block = block.sort_values(["size", "draw", "id", "nth"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         p = flight(block["p"].to_numpy(float), block["size"].to_numpy(float), block["u"].to_numpy(float))
         block["p"] = landing(p, block["size"].to_numpy(float)) if last else p
         return block
@@ -143,7 +145,10 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
     per = materialise(base.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
     aims = targets(per.select("source", "source_size"), weights, cap).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"), "source_size", "target")
     aims = materialise(aims.join(per.select("skey", "n"), "skey"), "mix-targets")
-    full = lookup_join(base, aims, "skey", "doc_id", "inner")
+    # A source may have a third of all documents: its one row comes in salted copies.
+    salts = 32
+    dealt = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    full = dealt.join(aims.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), ["skey", "salt"])
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     hashed = lambda tag: F.pmod(F.xxhash64("doc_id", "nth", "size", F.lit(f"{tag} {seed}")), F.lit(1 << 52))
     rows = full.select("doc_id", "source", "skey", "size", "nth", "source_size", "target", F.floor(rate + 1e-12).cast("long").alias("whole"), rate.alias("rate"), "n")
@@ -175,12 +180,13 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``documents``, each as often as the mix takes it."""
-    plan = mix(documents, **options).groupBy("doc_id", "skey", "size", "nth").agg(F.max("copies").alias("copies"))
-    # Equal ids with equal sizes and sources share their copies in any order: number them on both sides.
-    w = Window.partitionBy("__id", "__skey", "__size").orderBy("__t")
-    names = documents.columns
-    rows = documents.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("__skey"), token_count(F.col("text")).alias("__size"), F.xxhash64("text").alias("__t"))
-    rows = rows.withColumn("__nth", F.row_number().over(w))
-    plan = plan.where("copies > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("skey").alias("__skey"), F.col("size").alias("__size"), F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
-    out = rows.join(plan, ["__id", "__skey", "__size", "__nth"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    plan = mix(documents, **options)
+    # Rows with equal ids, sources and sizes share their copies in any order: number them on both sides.
+    pre = spare_prefix(documents.columns)
+    id_, skey, size, nth, t, copies, copy = (f"{pre}{x}" for x in ("id", "skey", "size", "nth", "text", "copies", "copy"))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias(id_)
+    rows = documents.select("*", named(F.col("doc_id")), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias(skey), token_count(F.col("text")).alias(size), F.xxhash64("text").alias(t))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(id_, skey, size).orderBy(t)))
+    plan = plan.where("copies > 0").select(named(F.col("doc_id")), F.col("skey").alias(skey), F.col("size").alias(size), F.col("nth").alias(nth), F.col("copies").alias(copies))
+    out = rows.join(plan, [id_, skey, size, nth])
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*documents.columns)
