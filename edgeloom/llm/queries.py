@@ -57,19 +57,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _line_dedup(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = line_dedup.dedup(docs, **options)
-    return rows.select("doc_id", "__lines.n_lines", "__lines.n_removed", F.sha2(F.encode(F.coalesce("__lines.text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
-
-
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_dedup(spark, sf_dir)
-
-
-def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with a word counts; ``op6_line_dedup`` and its SQL leave out those of one and two."""
-    return _line_dedup(spark, sf_dir, min_words=1)
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    got = rows.columns[-1]
+    return rows.select("doc_id", f"{got}.n_lines", f"{got}.n_removed", F.sha2(F.encode(F.coalesce(f"{got}.text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_url_filter, op3_toxicity, op4_fingerprint, op5_mixing, op6_line_dedup, op6_line_dedup_all, op7_suffix_dedup, op8_quality, op9_near_dup, op10_packing]
+    found = [op1_language_id, op2_url_filter, op3_toxicity, op4_fingerprint, op5_mixing, op6_line_dedup, op7_suffix_dedup, op8_quality, op9_near_dup, op10_packing]
     return {f.__name__: f for f in found}
 
 
@@ -106,7 +97,7 @@ SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, 'allow') AS ve
 
 _LINE_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, source, i, string_split(t, chr(10))[i] AS x FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
-k AS (SELECT *, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS y, regexp_matches(x, '[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){2}') AS counts FROM l),
+k AS (SELECT *, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS y, regexp_matches(x, '[^\x20\x09-\x0D]') AS counts FROM l),
 b AS (SELECT y, min(doc_id) AS first FROM k WHERE counts GROUP BY y HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 10),
 m AS (SELECT k.*, b.y IS NOT NULL AND counts AND NOT (k.doc_id = b.first AND row_number() OVER (PARTITION BY k.doc_id, k.y ORDER BY i) = 1) AS gone FROM k LEFT JOIN b ON b.y = k.y)
 SELECT doc_id, count(*) FILTER (regexp_matches(x, '[^\x20\x09-\x0D]')) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""

@@ -28,7 +28,7 @@ def test_query(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = brute([tuple(r) for r in docs.collect()])
     assert sum("Les." in t for t in want.values()) == 1 and sum("Rare one" in t for t in want.values()) == 1
-    got = e.queries()["op6_line_dedup_all"](spark, str(tmp_path)).collect()
+    got = e.queries()["op6_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["kept_sha256"] for r in got} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
     assert all(r["n_lines"] == 5 for r in got)
 
