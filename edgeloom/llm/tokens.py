@@ -4,7 +4,8 @@ A byte-level tokenizer's pre-tokens never cross a single space or newline betwee
 characters, so a text that has white space only in that way is a sequence of units: a newline, or a
 word with its leading space. Units repeat, so most are found in a cache; ids are kept as
 little-endian 32-bit bytes and a text is one join. Any other text (runs of white space, other
-blanks, blanks at an end) is encoded as a whole; both ways give the same ids.
+blanks, blanks at an end) is encoded as a whole, and so is a text that has the string of a special or added
+token, which the tokenizer's own rules decide on; both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ _KNOWN: dict[str, object] = {}
 
 
 def load(path: str):
-    """The tokenizer of a file; loaded once a process. Strings of special tokens are ordinary text."""
+    """The tokenizer of a file; loaded once a process."""
     if path not in _KNOWN:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        _KNOWN[path] = Tokenizer.from_file(path)
     return _KNOWN[path]
 
 
@@ -44,6 +44,8 @@ def encoder(path: str, most: int = 1_000_000) -> Callable[[str], bytes]:
     pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
     whole = lambda s: pack(t.encode(s, add_special_tokens=False).ids)
     by_units = t.normalizer is None and type(t.pre_tokenizer).__name__ == "ByteLevel" and not t.pre_tokenizer.add_prefix_space
+    added = [x.content for x in t.get_added_tokens_decoder().values() if x.content]
+    has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
     letters = _byte_letters()
     model, space = t.model, letters[32]
     cache: dict[str, bytes] = {}
@@ -77,7 +79,7 @@ def encoder(path: str, most: int = 1_000_000) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if not text:
             return b""
-        if not by_units or "\0" in text:
+        if not by_units or "\0" in text or has_added(text):
             return whole(text)
         units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         if len(cache) > most:
