@@ -9,7 +9,8 @@ positions and sorted as primitives, so a text of any length costs n log n and no
 
 Defined results: null text has no words and fails; null sources are one host; repeated rows count
 each time; with a single host the prior is weak (``least`` documents' worth) and the rate its own;
-empty tables give empty results.
+a host whose rate is exactly the limit passes; texts of any length are judged whole; empty tables give
+empty results; other columns are ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ def base_rules(rows: DataFrame, text: str, min_words: int = 50, max_repeat: floa
     near = lambda x, j: F.coalesce(_key(F.get("__s", j)) == _key(x), F.lit(False))
     rows = rows.withColumn("__d", F.filter("__s", lambda x, i: near(x, i + 1) | ((i > 0) & near(x, F.greatest(i - 1, F.lit(0))))))
     whole = lambda x: F.get("__t", _place(x))
-    # Two windows whose 40 sorted bits agree and whose 64 don't: then, or beyond 2^24 words, compare all with all.
+    # Two windows whose 40 sorted bits agree and whose 64 don't: then, or beyond 2^24 words, whole hashes are sorted.
     clash = (F.size("__t") > _MASK) | ((F.size("__d") > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.size("__d") - 1, F.lit(1))), lambda j: (_key(F.get("__d", j)) == _key(F.get("__d", j - 1))) & (whole(F.get("__d", j)) != whole(F.get("__d", j - 1)))))
-    slow = F.filter(F.sequence(F.lit(0), F.size("__t") - 1), lambda i: F.size(F.filter("__t", lambda h: h == F.get("__t", i))) > 1)
+    pairs = lambda: F.sort_array(F.transform("__t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    alike = lambda a, x, i: F.coalesce(F.get(a, i + 1)["h"] == x["h"], F.lit(False)) | ((i > 0) & F.coalesce(F.get(a, F.greatest(i - 1, F.lit(0)))["h"] == x["h"], F.lit(False)))
+    slow = F.get(F.transform(F.array(pairs()), lambda a: F.sort_array(F.transform(F.filter(a, lambda x, i: alike(a, x, i)), lambda x: x["i"]))), F.lit(0))
     rows = rows.withColumn("__r", F.when(F.size("__d") == 0, F.array().cast("array<int>")).when(clash, slow).otherwise(F.sort_array(F.transform("__d", _place))))
     covered = F.aggregate(F.transform("__r", lambda p, j: F.least(F.coalesce(F.get("__r", j + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD))
