@@ -4,12 +4,16 @@ Each stage reads what the one before it kept (written as Parquet and read again)
 take effect: toxic documents go, cross-site lines go (with documents that they emptied), one document
 of each group of near-duplicates stays, documents are repeated or left out to meet the sources'
 targets, and what remains is packed.
+
+Defined results: the stages' modules say what they do with nulls, empty and very long texts, ties, repeated
+rows, empty tables and other columns; a stage passes on every column of ``documents``. Null and empty texts
+are never toxic, have no lines and no copies, and are packed as an end mark alone. Near duplicates are taken at
+five words, as training corpora mostly are; the query of that operator alone has its own contract of four.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from edgeloom.llm import line_dedup, mixing, near_dup, packing, queries, toxicity
 from edgeloom.llm.common import is_held_out, table
@@ -19,13 +23,11 @@ from edgeloom.storage import materialise
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text").where(~is_held_out()), labels.where(~is_held_out()))
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    scored = toxicity.score(docs.select(whole, "text"), model, [F.col("row")])
-    return scored.where("predicted = 0").select("row.*")
+    return toxicity.clean(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.clean(docs, min_words=1)
+    return line_dedup.clean(docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
