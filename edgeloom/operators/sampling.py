@@ -58,7 +58,8 @@ def negatives(population: DataFrame, exclude: DataFrame, size: int, seed: int =
     """(src, trg, draw): ``size`` distinct pairs of different nodes that are not in ``exclude``.
 
     One shot draws ``oversample`` times the size; if too few survive, later rounds draw more. If the
-    graph is too dense even then, ``pad`` fills up with accepted pairs, drawn with replacement.
+    graph is too dense even then, ``pad`` fills up with accepted pairs, drawn with replacement; without it
+    that is an error.
     """
     kept, total, start = None, 0, 0
     for _ in range(max_rounds):
@@ -73,6 +74,8 @@ def negatives(population: DataFrame, exclude: DataFrame, size: int, seed: int =
         if total >= size:
             break
         start, oversample = start + oversample * size, oversample * 3
+    if total < size and not pad:
+        raise ValueError(f"{size} negatives asked for, {total} found in {max_rounds} rounds; pad repeats accepted pairs")
     ranked = global_rank(kept, ["draw"], "i")
     out = ranked.where(F.col("i") < size).select("src", "trg", "draw")
     if total < size and pad and total:

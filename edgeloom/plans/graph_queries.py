@@ -342,15 +342,8 @@ def precision_recall_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.retrieval_micro(top, test_edges(spark, sf_dir)).select(F.round("prec", 6).alias("prec"), F.round("rec", 6).alias("rec"))
 
 
-@query("ranking_candidates", with_("wedge tdeg", "SELECT u, v, r AS rank FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r FROM (SELECT c.u, c.v, count(*) AS n FROM wedge c WHERE c.u <> c.v AND c.u % 10 = 0 AND " + _MASK + " GROUP BY c.u, c.v)) WHERE r <= 10"))
+@query("ranking_candidates", with_("wedge tdeg", "SELECT u, v, r AS rank FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS r FROM (SELECT c.u, c.v, count(*) AS n FROM wedge c WHERE c.u <> c.v AND " + _MASK + " GROUP BY c.u, c.v)) WHERE r <= 10"))
 def ranking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking driver for the focal nodes whose id ends in 0."""
-    focal = train_degrees(spark, sf_dir).where("u % 10 = 0").select("u")
-    return ranking.rank_by_topology("commonNeighbors", train_sym(spark, sf_dir), train_degrees(spark, sf_dir), focal, 10).select("u", "v", "rank")
-
-
-@query("ranking_candidates_all")
-def ranking_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking driver for every node."""
     deg = train_degrees(spark, sf_dir)
     return ranking.rank_by_topology("commonNeighbors", train_sym(spark, sf_dir), deg, deg.select("u"), 10).select("u", "v", "rank")
@@ -457,27 +450,16 @@ def eigen_centrality_20_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOPS = """, hop(s, node, d) AS (SELECT DISTINCT src, src, 0 FROM sample UNION SELECT h.s, t.v, h.d + 1 FROM hop h JOIN tsym t ON t.u = h.node WHERE h.d < {most})"""
 
 
-@query("short_path_bounded", with_("test tsym", ",\nsample AS MATERIALIZED (SELECT src, trg FROM test WHERE src % 20 = 0)" + _HOPS.format(most=3) + "\nSELECT src, trg, (SELECT min(d) FROM hop WHERE s = src AND node = trg) AS hops FROM sample").replace("\n,\n", ",\n"))
-def short_path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops of held-out pairs of every twentieth source in the training graph, null beyond three."""
-    return graph.hop_distances(train_sym(spark, sf_dir), test_edges(spark, sf_dir).where("src % 20 = 0"), 3)
-
-
-@query("short_path")
+# The search ends when nothing new is reached; its SQL needs a bound, above any of these graphs' diameters.
+@query("short_path", with_("test tsym", ",\nsample AS MATERIALIZED (SELECT src, trg FROM test)" + _HOPS.format(most=30) + "\nSELECT src, trg, (SELECT min(d) FROM hop WHERE s = src AND node = trg) AS hops FROM sample").replace("\n,\n", ",\n"))
 def short_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops of every held-out pair in the training graph, null only if no path joins them."""
     return graph.hop_distances(train_sym(spark, sf_dir), test_edges(spark, sf_dir))
 
 
-@query("closeness_small", with_("usym udeg", """, hop(s, node, d) AS (SELECT u, u, 0 FROM udeg WHERE u % 10 = 0 UNION SELECT h.s, t.v, h.d + 1 FROM hop h JOIN usym t ON t.u = h.node WHERE h.d < 6),
+@query("closeness", with_("usym udeg", """, hop(s, node, d) AS (SELECT u, u, 0 FROM udeg UNION SELECT h.s, t.v, h.d + 1 FROM hop h JOIN usym t ON t.u = h.node WHERE h.d < 30),
 near AS (SELECT s, node, min(d) AS d FROM hop GROUP BY s, node)
 SELECT s AS node, round(CASE WHEN sum(d) > 0 THEN (count(*) - 1) / CAST(sum(d) AS DOUBLE) * (count(*) - 1) / CAST((SELECT count(*) FROM udeg) - 1 AS DOUBLE) ELSE 0 END, 6) AS cc FROM near GROUP BY s""").replace("\n, hop", ",\nhop"))
-def closeness_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sym = graph.symmetric(user_edges(spark, sf_dir))
-    return features.closeness(sym, graph.degrees(sym).where("u % 10 = 0").select(F.col("u").alias("node")), 6).withColumn("cc", F.round("cc", 6))
-
-
-@query("closeness")
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closeness of every node over all that it reaches."""
     sym = graph.symmetric(user_edges(spark, sf_dir))
@@ -499,10 +481,13 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.node_features(graph.symmetric(user_edges(spark, sf_dir)))
 
 
-@query("personalised_pagerank")
+@query("personalised_pagerank", with_("usym udeg", """, pp(i, s, u, x) AS (SELECT 0, u, u, 1.0::DOUBLE FROM udeg UNION ALL
+SELECT i, s, u, sum(x) FROM (SELECT i + 1 AS i, pp.s, t.v AS u, 0.85::DOUBLE * x / d.k AS x FROM pp JOIN udeg d ON d.u = pp.u JOIN usym t ON t.u = pp.u WHERE i < 10
+  UNION ALL SELECT DISTINCT i + 1, s, s, 0.15::DOUBLE FROM pp WHERE i < 10) GROUP BY i, s, u)
+SELECT s, u, round(x, 9) AS ppr FROM pp WHERE i = 10""").replace("\n, pp", ",\npp"))
 def personalised_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     sym = graph.symmetric(user_edges(spark, sf_dir))
-    return features.personalised_pagerank(sym, graph.degrees(sym).select(F.col("u").alias("node")), 10)
+    return features.personalised_pagerank(sym, graph.degrees(sym).select(F.col("u").alias("node")), 10).withColumn("ppr", F.round("ppr", 9))
 
 
 @query("pair_features_local", with_("near ends", """SELECT e.src, e.trg, CAST(n.cn AS DOUBLE) AS com_ne, round(n.cn / CAST(greatest(e.ki + e.kj - n.cn, 1) AS DOUBLE), 6) AS jacc_coeff, round(n.ra, 6) AS res_alloc_ind, round(n.aat, 6) AS adam_adar,
@@ -599,16 +584,9 @@ def stationary_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.stationary(graph.symmetric(user_edges(spark, sf_dir)), 30).withColumn("pi", F.round("pi", 6))
 
 
-@query("rwr_matrix", with_("usym udeg", """, rw(i, s, u, x) AS (SELECT 0, u, u, 1.0::DOUBLE FROM udeg WHERE u % 10 = 0 UNION ALL SELECT i + 1, rw.s, t.v, sum(x / d.k) FROM rw JOIN udeg d ON d.u = rw.u JOIN usym t ON t.u = rw.u WHERE i < 3 GROUP BY i, rw.s, t.v)
+@query("rwr_matrix", with_("usym udeg", """, rw(i, s, u, x) AS (SELECT 0, u, u, 1.0::DOUBLE FROM udeg UNION ALL SELECT i + 1, rw.s, t.v, sum(x / d.k) FROM rw JOIN udeg d ON d.u = rw.u JOIN usym t ON t.u = rw.u WHERE i < 3 GROUP BY i, rw.s, t.v)
 SELECT s, u AS v, round(sum(0.15::DOUBLE * 0.85::DOUBLE ** (i - 1) * x), 6) AS w FROM rw WHERE i > 0 GROUP BY s, u""").replace("\n, rw", ",\nrw"))
 def rwr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sym = graph.symmetric(user_edges(spark, sf_dir))
-    seeds = graph.degrees(sym).where("u % 10 = 0").select(F.col("u").alias("node"))
-    return walks.random_walk_restart(sym, seeds, 0.15, 3).withColumn("w", F.round("w", 6))
-
-
-@query("rwr_matrix_all")
-def rwr_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk from every node."""
     sym = graph.symmetric(user_edges(spark, sf_dir))
     seeds = graph.degrees(sym).select(F.col("u").alias("node"))
@@ -616,14 +594,8 @@ def rwr_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("second_order_graph", with_("usym", """SELECT x.u AS a, x.v AS b, y.v AS c, CASE WHEN x.u = y.v THEN 2.0::DOUBLE WHEN EXISTS (SELECT 1 FROM usym t WHERE t.u = x.u AND t.v = y.v) THEN 1.0 ELSE 0.5 END AS w
-FROM usym x JOIN usym y ON y.u = x.v WHERE x.u % 10 = 0"""))
+FROM usym x JOIN usym y ON y.u = x.v"""))
 def second_order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sym = graph.symmetric(user_edges(spark, sf_dir))
-    return walks.second_order_graph(sym, 0.5, 2.0).where("a % 10 = 0")
-
-
-@query("second_order_graph_all")
-def second_order_graph_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.second_order_graph(graph.symmetric(user_edges(spark, sf_dir)), 0.5, 2.0)
 
 

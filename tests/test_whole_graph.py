@@ -30,7 +30,7 @@ def test_ranking_of_every_node(run):
     for u in NEAR:
         shared = sorted((-len(NEAR[u] & NEAR[v]), v) for v in NEAR if v != u and v not in NEAR[u] and NEAR[u] & NEAR[v])
         want |= {(u, v, i + 1) for i, (_, v) in enumerate(shared[:10])}
-    assert {(r["u"], r["v"], r["rank"]) for r in run("ranking_candidates_all")} == want
+    assert {(r["u"], r["v"], r["rank"]) for r in run("ranking_candidates")} == want
 
 
 def test_walks_from_every_node(run):
@@ -50,13 +50,13 @@ def test_walks_from_every_node(run):
                 for v, w in x.items():
                     rwr[s, v] = rwr.get((s, v), 0) + 0.15 * 0.85**i * w
         ppr |= {(s, u): w for u, w in y.items()}
-    assert {(r["s"], r["v"]): r["w"] for r in run("rwr_matrix_all")} == pytest.approx(rwr, abs=1e-6)
+    assert {(r["s"], r["v"]): r["w"] for r in run("rwr_matrix")} == pytest.approx(rwr, abs=1e-6)
     assert {(r["s"], r["u"]): r["ppr"] for r in run("personalised_pagerank")} == pytest.approx(ppr, abs=1e-9)
 
 
 def test_second_order_of_every_edge(run):
     want = {(a, b, c): 2.0 if a == c else 1.0 if c in NEAR[a] else 0.5 for a in NEAR for b in NEAR[a] for c in NEAR[b]}
-    assert {(r["a"], r["b"], r["c"]): r["w"] for r in run("second_order_graph_all")} == want
+    assert {(r["a"], r["b"], r["c"]): r["w"] for r in run("second_order_graph")} == want
 
 
 def test_negatives_are_padded_on_the_whole_graph(run):
