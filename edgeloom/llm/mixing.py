@@ -65,44 +65,38 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap:
 def flight(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Probabilities after the flight phase with constraints sum(p) and sum(p * size).
 
-    Three documents with fractional probabilities at a time move along the one direction that changes
-    neither sum, to where the first of them gets 0 or 1; the side is drawn so that expectations stay.
-    At most two fractions remain.
+    The first document that is still open moves against all other open ones, along the direction that
+    changes neither sum, to where the first of them gets 0 or 1; the side is drawn so that expectations
+    stay. Given in falling size, the largest settle while many small ones can make up for them. At most two
+    fractions remain.
     """
-    p = p.tolist()
-    s = size.tolist()
-    u = draws.tolist()
-    held: list[int] = []
-    for i in range(len(p)):
-        if not _EPS < p[i] < 1 - _EPS:
-            p[i] = float(round(p[i]))
-            continue
-        held.append(i)
-        if len(held) < 3:
-            continue
-        a, b, c = held
-        # The null vector of the rows (1, 1, 1) and (s_a, s_b, s_c) is their cross product.
-        va, vb, vc = s[c] - s[b], s[a] - s[c], s[b] - s[a]
-        if not (va or vb or vc):
-            va, vb, vc = 1.0, -1.0, 0.0
-        up = down = 1e300
-        for x, v in ((p[a], va), (p[b], vb), (p[c], vc)):
-            if v > 0:
-                up, down = min(up, (1 - x) / v), min(down, x / v)
-            elif v < 0:
-                up, down = min(up, -x / v), min(down, (x - 1) / v)
-        step = up if u[i] * (up + down) < down else -down
-        held = []
-        for j, v in ((a, va), (b, vb), (c, vc)):
-            x = p[j] + step * v
-            if x < _EPS:
-                p[j] = 0.0
-            elif x > 1 - _EPS:
-                p[j] = 1.0
-            else:
-                p[j] = x
-                held.append(j)
-    return np.array(p)
+    p = np.where(p < _EPS, 0.0, np.where(p > 1 - _EPS, 1.0, p))
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    for u in draws[open_].tolist():
+        if len(open_) < 3:
+            break
+        x, s = p[open_], size[open_]
+        v = np.empty(len(open_))
+        v[0] = 1.0
+        q = x[1:] * (1 - x[1:])
+        mean = float(q @ s[1:]) / float(q.sum())
+        off = s[1:] - mean
+        spread = float(q @ (off * off))
+        if spread > 1e-9 * max(mean * mean, 1.0):
+            v[1:] = -q * (1 / float(q.sum()) + off * ((s[0] - mean) / spread))
+        elif abs(s[0] - mean) < 1e-9 * max(mean, 1.0):
+            v[1:] = -q / float(q.sum())
+        else:  # all others are of one size: two of them trade
+            v[:] = 0.0
+            v[1], v[2] = 1.0, -1.0
+        moves = np.abs(v) > 1e-15
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = float(np.where(v > 0, (1 - x) / v, -x / v)[moves].min())
+            down = float(np.where(v > 0, x / v, (x - 1) / v)[moves].min())
+        x = x + (up if u * (up + down) < down else -down) * v
+        p[open_] = x = np.where(x < _EPS, 0.0, np.where(x > 1 - _EPS, 1.0, x))
+        open_ = open_[(x > 0) & (x < 1)]
+    return p
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
