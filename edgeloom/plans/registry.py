@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.plans import base, graph_queries, result_queries  # noqa: F401  (they register on import)
+from edgeloom.plans import base, graph_queries, more_queries, result_queries  # noqa: F401  (they register on import)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -250,6 +250,8 @@ def theory_lognormal_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.round(F.col("sigma") * F.sqrt(F.lit(2.0)), 6).alias("sigma"), F.round("auc", 6).alias("auc"))
 
 
-@query("theory_zeta_auc")
+@query("theory_zeta_auc", """SELECT alpha, round(sum(pos * (below - 0.5::DOUBLE * neg)), 9) AS auc FROM (
+  SELECT alpha, p / sum(p) OVER (PARTITION BY alpha) AS neg, k * p / sum(k * p) OVER (PARTITION BY alpha) AS pos, sum(p) OVER (PARTITION BY alpha ORDER BY k) / sum(p) OVER (PARTITION BY alpha) AS below FROM (
+    SELECT alpha, k, k::DOUBLE ** -alpha AS p FROM (SELECT unnest([2.2, 2.5, 3.0, 3.5])::DOUBLE AS alpha) a, (SELECT unnest(range(1, 20001)) AS k) b)) GROUP BY alpha""")
 def theory_zeta_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a, stats.theory_zeta_auc(a)) for a in (2.2, 2.5, 3.0, 3.5)], "alpha double, auc double")
+    return spark.createDataFrame([(a, round(stats.theory_zeta_auc(a), 9)) for a in (2.2, 2.5, 3.0, 3.5)], "alpha double, auc double")

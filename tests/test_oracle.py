@@ -5,7 +5,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["edges_canonical", "degree_distribution", "spanning_forest", "train_test_split", "negatives_uniform", "score_ra", "auc_by_sampler", "topk_cn", "precision_recall_at_k", "network_stats", "nmi", "element_centric_similarity", "filename_params", "theory_lognormal_auc", "ranking_candidates", "rwr_matrix", "second_order_graph", "short_path", "closeness", "personalised_pagerank"]
+NAMES = ["edges_canonical", "degree_distribution", "spanning_forest", "train_test_split", "negatives_uniform", "score_ra", "auc_by_sampler", "topk_cn", "precision_recall_at_k", "network_stats", "nmi", "element_centric_similarity", "filename_params", "theory_lognormal_auc", "ranking_candidates", "rwr_matrix", "second_order_graph", "short_path", "closeness", "personalised_pagerank", "knn_log_degree", "rank_by_embedding", "rank_by_embedding_degree", "log_degree_corrected", "power_sum", "walk_context", "sample_with_replacement", "recode_sentinels", "global_top", "lda_separation", "edge_csv_scan", "table_scan_orc", "windowed_edge_counts", "theory_zeta_auc"]
 
 
 @pytest.fixture(scope="module")
