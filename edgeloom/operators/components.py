@@ -82,7 +82,8 @@ def star_components(edges: DataFrame, local: bool = False) -> DataFrame:
     width = width_for(edges.sparkSession, state.df.count())
     loops = state.df.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     links = state.df.where("u <> v")
-    combined = (lambda df: _forest(df)) if local else (lambda df: df)
+    # Fewer tasks before the combiner, not after it: a task starts it once and sees all of its edges.
+    combined = (lambda df: _forest(df.coalesce(width))) if local else (lambda df: df)
     if local:
         links = Table(combined(links), "star", width).df
     while not _is_done(links):
