@@ -140,7 +140,8 @@ def _members(opened: DataFrame) -> DataFrame:
 
 def _differences(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(cluster, cid, comp, size, d, slack): each member's set size and its difference from its cluster's
-    core, as an array in an order that all of a cluster share: elements outside the core first, by hash.
+    core, as an array in an order that all of a cluster share: elements that fewer members differ by first, ties by
+    hash. Rare elements lead, so what many members differ by makes no buckets while there is anything else.
 
     ``slack``: (100 - percent) * size - (100 + percent) * |d|; x and y are similar exactly if d(x) and d(y)
     have -(slack(x) + slack(y)) / (2 * (100 + percent)) elements in common, or more.
@@ -170,8 +171,13 @@ def _differences(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
             size = b["e"].str.len()
             yield pd.DataFrame({**{x: b[x] for x in ("cluster", "cid", "comp")}, "size": size, "d": [np.concatenate([x]) for x in d], "slack": (100 - percent) * size - (100 + percent) * pd.Series([len(x) for x in d], index=b.index)})
 
-    # Sets come sorted (see shingle_sets) as unsigned numbers; the order only has to be the same for all.
-    return materialise(both.mapInPandas(run, "cluster long, cid long, comp long, size long, d array<long>, slack long"), "near-differences")
+    raw = materialise(both.mapInPandas(run, "cluster long, cid long, comp long, size long, d array<long>, slack long"), "near-differences")
+    each = raw.select("cluster", "cid", F.explode("d").alias("e"))
+    often = each.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rated = each.join(often.hint("merge"), ["cluster", "e"], "left").select("cid", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "e").alias("x"))
+    ordered = rated.groupBy("cid").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["e"]).alias("d"))
+    out = raw.drop("d").join(ordered.hint("merge"), "cid", "left").withColumn("d", F.coalesce("d", F.array().cast("array<long>")))
+    return materialise(out, "near-ordered")
 
 
 def _split(diffs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
