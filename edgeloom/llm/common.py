@@ -32,3 +32,14 @@ def spare_prefix(columns: list[str]) -> str:
     while any(c.lower().startswith(prefix) for c in columns):
         prefix += "_"
     return prefix
+
+
+#: Spark's own limits of an Arrow batch, and ours.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of whole texts on either side of Python; limits that a session set itself stay."""
+    for key, (given, ours) in _BATCH.items():
+        if spark.conf.get(key, given) == given:
+            spark.conf.set(key, ours)

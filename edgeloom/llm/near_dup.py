@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import WORD
+from edgeloom.llm.common import WORD, small_batches
 from edgeloom.llm.shingles import Minima, shingle_sets, similar
 from edgeloom.operators.components import star_components
 from edgeloom.storage import materialise, width_for
@@ -223,6 +223,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
 
     ``few``: members of a bucket that are paired directly; ``most``: heads of a bucket that others are held against.
     """
+    small_batches(documents.sparkSession)
     minima = Minima(bands, rows)
     share = percent / 100
     least = max(0.0, share - 5 * math.sqrt(share * (1 - share) / (bands * rows)))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from edgeloom.llm.common import small_batches
 from edgeloom.llm.tokens import encoder
 from edgeloom.storage import materialise, shuffle_width
 
@@ -88,6 +89,7 @@ def plan(counts: dict[int, int], size: int = 1024) -> list[tuple[int, int, int,
 def pack(documents: DataFrame, tokenizer: str, size: int = 1024, end: int = 2, bucket_rows: int = 200_000) -> DataFrame:
     """The pieces of every row with sequence_id and offset."""
     spark = documents.sparkSession
+    small_batches(spark)
     cutted = materialise(pieces(documents, tokenizer, size, end), "pieces")
     counts = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     steps = plan(counts, size)

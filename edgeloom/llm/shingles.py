@@ -47,7 +47,7 @@ def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h + size.astype(np.uint64) * _M2), start
 
 
-def shingle_sets(texts: list[str | None], k: int, budget: int = 1 << 22) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int, budget: int = 1 << 18) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than k words make one shingle of them all.
 
     ``budget``: bytes of text that are worked on at once (a longer text is one batch of its own).

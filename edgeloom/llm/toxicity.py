@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.common import small_batches
 from edgeloom.storage import materialise
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -247,6 +248,7 @@ def fit(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> M
 
 def score(documents: DataFrame, model: Model, keep: list[Column], threshold: float = 0.3, bounds: Bounds = Bounds()) -> DataFrame:
     """``keep`` columns of every row, with score and predicted of its ``text``."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*keep, F.col("text").alias("__text"))
     schema = rows.drop("__text").schema.add("score", "double").add("predicted", "integer")
@@ -263,6 +265,7 @@ def score(documents: DataFrame, model: Model, keep: list[Column], threshold: flo
 
 def clean(documents: DataFrame, model: Model, threshold: float = 0.3, bounds: Bounds = Bounds()) -> DataFrame:
     """``documents`` without the rows predicted toxic. Every column passes once, as Arrow."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
