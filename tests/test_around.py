@@ -64,7 +64,7 @@ def test_top_paths(sym, joined, monkeypatch, name, alone):
         assert v == want[key][0] and score == pytest.approx(want[key][1], abs=1e-12)
 
 
-@pytest.mark.parametrize("query", ["dense_rank_models", "pivot_ranks", "rank_change", "rank_models"])
+@pytest.mark.parametrize("query", ["dense_rank_models", "pivot_ranks", "rank_change", "rank_models", "auc_by_model_sampler"])
 def test_models_are_scored_without_joins(spark, sym, joined, monkeypatch, query):
     rows = [(s, a, b, y) for s in ("uniform", "degreeBiased") for y, pairs in ((1, TIES[:20]), (0, [(a, b) for a, b in zip(range(1, 20), range(15, 34)) if (a, b) not in TIES][: 12 if s == "uniform" else 17])) for a, b in pairs]
     target = spark.createDataFrame(rows, "sampler string, src long, trg long, y int")
