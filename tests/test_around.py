@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.operators import around, graph, scorers
+from edgeloom.operators import around, features, graph, scorers, walks
 from edgeloom.operators.dataset import as_edges
 from edgeloom.plans import base, graph_queries, result_queries  # noqa: F401
 from tests.test_graph import TIES
@@ -76,3 +76,92 @@ def test_models_are_scored_without_joins(spark, sym, joined, monkeypatch, query)
         got = run()
     joined()
     assert got == run()
+
+
+@pytest.mark.parametrize("query, scorer", [("topk_lpi", "neighbour_sums")])
+def test_top_paths_of_queries(sym, monkeypatch, query, scorer):
+    monkeypatch.setattr(graph_queries, "train_sym", lambda *_: sym)
+    monkeypatch.setattr(graph_queries, "train_degrees", lambda *_: graph.degrees(sym))
+    monkeypatch.setattr(scorers, scorer, None)
+    assert {r["u"] for r in base.QUERIES[query](sym.sparkSession, "none").collect()} == {x for e in ALL for x in e}
+
+
+def without_joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Join" not in plan and "BatchScan" not in plan
+
+
+@pytest.mark.parametrize("block", [50, 2_000_000])
+def test_restarting_walks(spark, sym, joined, monkeypatch, block):
+    monkeypatch.setattr(around, "BLOCK", block)
+    seeds = sym.select(F.col("u").alias("node")).distinct().union(spark.range(1).selectExpr("77L as node"))
+    df = walks.random_walk_restart(sym, seeds, 0.15, 3)
+    assert without_joins(df)
+    got = table(df, "s", "v")
+    joined()
+    want = table(walks.random_walk_restart(sym, seeds, 0.15, 3), "s", "v")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("block", [50, 2_000_000])
+def test_personal_ranks(spark, sym, joined, monkeypatch, block):
+    monkeypatch.setattr(around, "BLOCK", block)
+    seeds = sym.select(F.col("u").alias("node")).distinct().union(spark.range(1).selectExpr("77L as node"))
+    df = features.personalised_pagerank(sym, seeds, 5)
+    assert without_joins(df)
+    got = table(df, "s", "u")
+    joined()
+    want = table(features.personalised_pagerank(sym, seeds, 5), "s", "u")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_closeness(sym, joined, most):
+    sources = sym.select(F.col("u").alias("node")).distinct()
+    got = table(features.closeness(sym, sources, most), "node")
+    joined()
+    want = table(features.closeness(sym, sources, most), "node")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+@pytest.mark.parametrize("most", [None, 3])
+@pytest.mark.parametrize("block", [10, 2_000_000])
+def test_distances(spark, sym, joined, monkeypatch, most, block):
+    monkeypatch.setattr(around, "BLOCK", block)
+    nodes = sym.select("u").distinct().union(spark.range(1).selectExpr("77L as u"))
+    pairs = nodes.select(F.col("u").alias("src")).crossJoin(nodes.select(F.col("u").alias("trg")))
+    df = graph.hop_distances(sym, pairs, most)
+    assert "hop-left" not in df._jdf.queryExecution().executedPlan().toString()
+    got = table(df, "src", "trg")
+    joined()
+    assert got == table(graph.hop_distances(sym, pairs, most), "src", "trg")
+
+
+@pytest.mark.parametrize("load", [False, True])
+def test_betweenness_of_blocks(sym, monkeypatch, load):
+    """Against shares of paths from distances and numbers of paths; blocks of one source and of all."""
+    near = {}
+    for a, b in ALL:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        level, count, order = {s: 0}, {s: 1.0}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in level:
+                    level[y], count[y] = level[x] + 1, 0.0
+                    order.append(y)
+                if level[y] == level[x] + 1:
+                    count[y] += count[x]
+        flow = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            up = [x for x in near[y] if level[x] == level[y] - 1]
+            for x in up:
+                flow[x] += (1 + flow[y]) * (1 / len(up) if load else count[x] / count[y])
+            total[y] += flow[y] if y != s else 0
+    n = len(near)
+    for block in (1, 2_000_000):
+        monkeypatch.setattr(around, "BLOCK", block)
+        got = {r["u"]: r["bc"] for r in features.betweenness(sym, load=load).collect()}
+        assert got == pytest.approx({u: x / ((n - 1) * (n - 2)) for u, x in total.items()})
