@@ -78,7 +78,7 @@ def test_models_are_scored_without_joins(spark, sym, joined, monkeypatch, query)
     assert got == run()
 
 
-@pytest.mark.parametrize("query, scorer", [("topk_lpi", "neighbour_sums")])
+@pytest.mark.parametrize("query, scorer", [("topk_lpi", "neighbour_sums"), ("topk_lrw", "neighbour_sums")])
 def test_top_paths_of_queries(sym, monkeypatch, query, scorer):
     monkeypatch.setattr(graph_queries, "train_sym", lambda *_: sym)
     monkeypatch.setattr(graph_queries, "train_degrees", lambda *_: graph.degrees(sym))
