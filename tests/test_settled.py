@@ -33,7 +33,7 @@ def test_settled_deletes_what_it_was_made_from(spark, folder):
     assert sorted(r["id"] for r in out.collect()) == [0, 1, 1, 2, 2, 3]
 
 
-@pytest.mark.parametrize("name", ["pivot_ranks", "auc_by_model_sampler", "rank_models"])
+@pytest.mark.parametrize("name", ["pivot_ranks", "auc_by_model_sampler", "rank_models", "rank_change"])
 def test_only_shared_tables_stay(spark, folder, tmp_path, name):
     import __spark_entry__
 
