@@ -1,5 +1,6 @@
 """Tasks that hold the graph, against the joins that larger graphs take."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,10 @@ def test_betweenness_of_blocks(sym, monkeypatch, load):
         monkeypatch.setattr(around, "BLOCK", block)
         got = {r["u"]: r["bc"] for r in features.betweenness(sym, load=load).collect()}
         assert got == pytest.approx({u: x / ((n - 1) * (n - 2)) for u, x in total.items()})
+
+
+def test_slots_and_hubs(sym):
+    g = around.held(sym).value
+    x = np.arange(3.0 * len(g.ids)).reshape(-1, 3)
+    for most in (0, 1, 4, 256):
+        assert around.Slots(g, most).around(x) == pytest.approx(g.around(x))
