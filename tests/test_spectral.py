@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from edgeloom.operators import embedding, features, graph
+from edgeloom.operators import embedding, features, graph, spectral
 from edgeloom.operators.dataset import as_edges
 from tests.test_graph import TIES
 
@@ -41,3 +41,16 @@ def test_svd_features_over_the_dense_bound(sym):
     pairs = graph.upper_triangle(sym)
     dense, held = ({(r[0], r[1]): tuple(r[2:]) for r in features.approximate_svd_features(sym, pairs, max_nodes=m).collect()} for m in (5000, 5))
     assert held.keys() == dense.keys() and all(held[k] == pytest.approx(dense[k], abs=1e-8) for k in dense)
+
+
+def test_magnitudes_that_hardly_differ():
+    # Rotations by many angles, their radii 1e-4 apart, below one far larger eigenvalue.
+    n, rng = 401, np.random.default_rng(1)
+    radius, angle = 5 - 1e-4 * np.arange(200), rng.uniform(0.1, 3, 200)
+    m = np.zeros((n, n))
+    m[0, 0] = 27.0
+    for i, (r, t) in enumerate(zip(radius, angle)):
+        m[2 * i + 1 : 2 * i + 3, 2 * i + 1 : 2 * i + 3] = r * np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+    s, x = spectral.top_eigen_general(lambda y: m @ y, n, 5, restarts=60)
+    assert np.abs(s) == pytest.approx([27, 5, 5, 5 - 1e-4, 5 - 1e-4], abs=1e-6)
+    assert np.abs(m @ x - x * s).max() < 1e-6
