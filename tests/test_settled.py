@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import storage
 
-SHARED = {"edges", "test", "train", "train-sym", "negatives-uniform", "negatives-biased", "target"}
+SHARED = {"edges", "test", "train", "train-sym", "train-degrees", "negatives-uniform", "negatives-biased", "target"}
 
 
 @pytest.fixture
@@ -33,7 +33,7 @@ def test_settled_deletes_what_it_was_made_from(spark, folder):
     assert sorted(r["id"] for r in out.collect()) == [0, 1, 1, 2, 2, 3]
 
 
-@pytest.mark.parametrize("name", ["pivot_ranks", "auc_by_model_sampler", "rank_models", "rank_change"])
+@pytest.mark.parametrize("name", ["pivot_ranks", "auc_by_model_sampler", "rank_models", "rank_change", "topk_lpi", "topk_lrw"])
 def test_only_shared_tables_stay(spark, folder, tmp_path, name):
     import __spark_entry__
 
