@@ -173,3 +173,19 @@ def test_slots_and_hubs(sym):
     x = np.arange(3.0 * len(g.ids)).reshape(-1, 3)
     for most in (0, 1, 4, 256):
         assert around.Slots(g, most).around(x) == pytest.approx(g.around(x))
+
+
+def test_what_is_sent_is_small_and_whole():
+    import pickle
+
+    rng = np.random.default_rng(5)
+    u = np.repeat(np.arange(20_000), 8)
+    v = (u + rng.integers(1, 200, len(u))) % 20_000
+    g = around.Graph(np.concatenate([u, v, [7, 1 << 40]]), np.concatenate([v, u, [1 << 40, 7]]))
+    sent = pickle.dumps(g)
+    assert len(sent) < 2 * len(g.near)  # a neighbour's number alone has 4 bytes
+    got = pickle.loads(sent)
+    empty = pickle.loads(pickle.dumps(around.Graph(u[:0], u[:0])))
+    for x in ("ids", "at", "near", "k"):
+        assert getattr(got, x).dtype == getattr(g, x).dtype and (getattr(got, x) == getattr(g, x)).all()
+    assert not len(empty.ids) and not len(empty.near)

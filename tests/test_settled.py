@@ -41,3 +41,22 @@ def test_only_shared_tables_stay(spark, folder, tmp_path, name):
     (tmp_path / "sf0.001").symlink_to("/root/testdata/sf0.001")
     assert __spark_entry__.queries()[name](spark, str(tmp_path / "sf0.001")).count()
     assert all(n == 1 for n in left(folder).values()) and set(left(folder)) <= SHARED
+
+
+def shuffles(spark):
+    """The shuffle files that Spark holds on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, folder):
+    import time
+
+    before = shuffles(spark)
+    out = storage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("u")).count(), "counts")
+    until = time.time() + 5
+    while shuffles(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles(spark) - before
+    assert out.count() == 7
+    assert spark.conf.get(storage._CLEANUP, "false") == "false"
