@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from edgeloom.llm.anchors import Strings, pieces
+from edgeloom.llm.common import small_batches
 from edgeloom.storage import materialise
 
 _LEAST_ID = -(1 << 63)
+#: Windows that a task sorts at once; an anchor's windows beyond that are dealt by their hashes.
+WINDOWS = 1 << 17
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -119,7 +122,7 @@ def _cut(rows: DataFrame, length: int, k: int) -> DataFrame:
             for i, b in enumerate(coded):
                 held.append(b)
                 size += len(b)
-                if size > 1 << 21 or i == len(coded) - 1:
+                if size > 1 << 19 or i == len(coded) - 1:
                     raw, ends = np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held])
                     start, windows, anchor, content = pieces(raw, ends, length, k)
                     doc = np.searchsorted(ends, start, side="right")
@@ -159,10 +162,21 @@ def _groups(raw: np.ndarray, at: np.ndarray, key: np.ndarray, length: int) -> li
     kept = order[near]  # a window whose hash no other has is in no interval
     if not len(kept):
         return []
+    # Equal windows have equal hashes, so the suffix array may be made for some hashes at a time.
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    hashes, found, lo = hashes[kept], [], 0
+    while lo < len(kept):
+        last = hashes[min(lo + WINDOWS, len(kept)) - 1]
+        hi = lo + int(np.searchsorted(hashes[lo:], last, "right"))
+        found += _sorted_groups(raw, padded, at, key, kept[lo:hi], length)
+        lo = hi
+    return found
+
+
+def _sorted_groups(raw: np.ndarray, padded: np.ndarray, at: np.ndarray, key: np.ndarray, kept: np.ndarray, length: int) -> list[tuple[np.ndarray, bool]]:
     # The suffix array cut off at `length` bytes: big-endian words sort as the bytes do.
     wide = -(-length // 8) * 8
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, wide)[at[kept]].copy()
+    view = np.lib.stride_tricks.sliding_window_view(padded, wide)[at[kept]]
     view[:, length:] = 0
     words = view.view(">u8")
     order = np.lexsort([key[kept], *[words[:, j] for j in range(words.shape[1] - 1, -1, -1)]])
@@ -204,7 +218,7 @@ def _repeats(rows: DataFrame, length: int) -> DataFrame:
         for b in batches:
             held = b if held is None else pd.concat([held, b], ignore_index=True)
             whole = held["anchor"].to_numpy() != held["anchor"].iloc[-1]
-            if whole.sum() >= 20_000:
+            if held["windows"].to_numpy()[whole].sum() >= WINDOWS:
                 ready = held[whole].sort_values(["doc", "nth", "start"], kind="stable").reset_index(drop=True)
                 held = held[~whole].reset_index(drop=True)
                 yield solve(ready)
@@ -267,6 +281,7 @@ def dedup(documents: DataFrame, length: int = 100, k: int = 24, hot: int = 20_00
 
     ``hot``: an anchor with more asked pieces than this is worked on by window.
     """
+    small_batches(documents.sparkSession)
     base = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     many = base.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     if many:

@@ -408,3 +408,31 @@ def test_units_equal_whole_texts():
     t, say = Tokenizer.from_file(path), encoder(path)
     for s in ["", " a", "a ", "a  b", "a\n\nb", "a \n b", "don't, I'll go.", "x1y2 3z", "é ñ中文 ok", "a b", "<|endoftext|> x", "a<|endoftext|>b c", *[f"x {a.content} y" for a in t.get_added_tokens_decoder().values()], "tab\tx", "a b c.", "!!! ??", "a.\nB,", "\0 a b", "²x ½ y"]:
         assert np.frombuffer(say(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 17])
+def test_groups_of_some_hashes_at_a_time(monkeypatch, most):
+    """Groups don't depend on how many windows are sorted at once."""
+    rng = np.random.default_rng(6)
+    raw = np.concatenate([[0], np.tile(rng.integers(97, 100, 500), 3), rng.integers(97, 123, 300)]).astype(np.uint8)
+    at = np.arange(1, len(raw) - 100)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", most)
+    got = sorted(tuple(map(int, m)) for m, _ in suffix_dedup._groups(np.concatenate([raw, np.zeros(100, np.uint8)]), at, at, 100))
+    known = {}
+    for i, p in enumerate(at):
+        known.setdefault(raw[p : p + 100].tobytes(), []).append(i)
+    assert got == sorted(tuple(m) for m in known.values() if len(m) > 1)
+
+
+def test_groups_of_many_windows_need_little_memory():
+    import tracemalloc
+
+    piece = np.random.default_rng(7).integers(97, 123, 175).astype(np.uint8)
+    raw = np.concatenate([np.zeros(1, np.uint8), np.tile(piece, 6000), np.zeros(100, np.uint8)])
+    at = (1 + 175 * np.arange(6000)[:, None] + np.arange(76)).ravel()
+    tracemalloc.start()
+    found = suffix_dedup._groups(raw, at, np.arange(len(at)), 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 76 and all(len(m) == 6000 for m, _ in found)
+    assert most < 100e6  # all 456,000 windows at once took 136 MB
