@@ -46,7 +46,8 @@ def test_only_shared_tables_stay(spark, folder, tmp_path, name):
 def shuffles(spark):
     """The shuffle files that Spark holds on disk."""
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+    found = (files.apply(i) for i in range(files.size()))
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
 
 
 def test_written_tables_leave_no_shuffle_files(spark, folder):
@@ -55,8 +56,8 @@ def test_written_tables_leave_no_shuffle_files(spark, folder):
     before = shuffles(spark)
     out = storage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("u")).count(), "counts")
     until = time.time() + 5
-    while shuffles(spark) - before and time.time() < until:
+    while shuffles(spark).keys() - before.keys() and time.time() < until:
         time.sleep(0.1)
-    assert not shuffles(spark) - before
+    assert not shuffles(spark).keys() - before.keys()
     assert out.count() == 7
     assert spark.conf.get(storage._CLEANUP, "false") == "false"
