@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom import storage
-from edgeloom.operators import around, folds, graph, split
+from edgeloom.operators import around, folds, graph, sampling, split
 from edgeloom.plans import base
 from tests.test_settled import folder, left  # noqa: F401
 
@@ -67,3 +67,22 @@ def test_both_directions_are_not_written(spark, folder, tmp_path):  # noqa: F811
     sym = base.train_sym(spark, str(tmp_path / "sf0.001"))
     assert storage.materialise(sym, "again") is sym
     assert set(left(folder)) == {"edges", "test", "train"}
+
+
+@pytest.mark.parametrize("biased", [False, True])
+def test_draws_are_looked_up(spark, edges, biased):
+    sym = graph.symmetric(edges)
+    listed, ends = storage.materialise(sampling.stubs(sym, biased), "stubs"), sampling.ends(sym, biased)
+    assert sorted(map(tuple, ends.table().collect())) == sorted(map(tuple, listed.collect()))
+    assert "Join" not in sampling.draw_pairs(ends, 50)._jdf.queryExecution().executedPlan().toString()
+    # The last one draws more pairs than there are.
+    for size in (1, 60, 900):
+        one, two = (sorted(map(tuple, sampling.negatives(p, edges, size, 3).collect())) for p in (listed, ends))
+        assert one == two and len(one) == size
+
+
+def test_target_is_no_table(spark, folder, tmp_path):  # noqa: F811
+    (tmp_path / "sf0.001").symlink_to("/root/testdata/sf0.001")
+    rows = base.target(spark, str(tmp_path / "sf0.001"))
+    assert rows.count() == 4 * base.test_edges(spark, str(tmp_path / "sf0.001")).count()
+    assert set(left(folder)) == {"edges", "test", "train", "negatives-uniform", "negatives-biased"}
