@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import storage
 from edgeloom.operators import around, folds, graph, sampling, split
-from edgeloom.plans import base
+from edgeloom.plans import base, registry
 from tests.test_settled import folder, left  # noqa: F401
 
 
@@ -86,3 +86,12 @@ def test_target_is_no_table(spark, folder, tmp_path):  # noqa: F811
     rows = base.target(spark, str(tmp_path / "sf0.001"))
     assert rows.count() == 4 * base.test_edges(spark, str(tmp_path / "sf0.001")).count()
     assert set(left(folder)) == {"edges", "test", "train", "negatives-uniform", "negatives-biased"}
+
+
+def test_ranks_are_made_without_lists_of_ends(spark, folder, tmp_path, monkeypatch):  # noqa: F811
+    (tmp_path / "sf0.001").symlink_to("/root/testdata/sf0.001")
+    tags = set()
+    real = storage.Table.__init__
+    monkeypatch.setattr(storage.Table, "__init__", lambda self, df, tag, *a: (tags.add(tag), real(self, df, tag, *a))[1])
+    assert registry.queries()["rank_models"](spark, str(tmp_path / "sf0.001")).count() == 20
+    assert not tags & {"stubs", "target", "train-sym", "bfs", "star", "split-rest"}, tags
