@@ -37,6 +37,13 @@ def test_katz_over_the_dense_bound(sym):
     assert held == pytest.approx(dense, abs=1e-8)
 
 
+def test_systems_that_are_nearly_singular():
+    # Eigenvalues on both sides of 0, the nearest of them 7e-5 away.
+    d = np.append(1 - 1.02 * np.cos(np.linspace(0, np.pi, 3000)), -1.7)
+    x = spectral.solve(lambda y: d * y, np.ones(3001))
+    assert np.linalg.norm(d * x - 1) <= 1e-8 * np.sqrt(3001)
+
+
 def test_svd_features_over_the_dense_bound(sym):
     pairs = graph.upper_triangle(sym)
     dense, held = ({(r[0], r[1]): tuple(r[2:]) for r in features.approximate_svd_features(sym, pairs, max_nodes=m).collect()} for m in (5000, 5))
