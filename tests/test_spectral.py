@@ -61,3 +61,45 @@ def test_magnitudes_that_hardly_differ():
     s, x = spectral.top_eigen_general(lambda y: m @ y, n, 5, restarts=60)
     assert np.abs(s) == pytest.approx([27, 5, 5, 5 - 1e-4, 5 - 1e-4], abs=1e-6)
     assert np.abs(m @ x - x * s).max() < 1e-6
+
+
+def parts(number, n=40, seed=5):
+    """A chance graph's matrix, repeated, each copy tied to the next one by an edge."""
+    rng = np.random.default_rng(seed)
+    a = np.zeros((n, n))
+    u, v = rng.integers(0, n, (2, 4 * n))
+    a[u, v] = a[v, u] = 1.0
+    np.fill_diagonal(a, 0)
+    m = np.kron(np.eye(number), a)
+    at = np.arange(number - 1) * n
+    m[at, at + n + 1] = m[at + n + 1, at] = 1.0
+    return m
+
+
+def test_many_like_parts():
+    m = parts(30)
+    s, x = spectral.wide_eigen(lambda y: m @ y, len(m), 5, 1e-9, symmetric=True)
+    assert s == pytest.approx(np.sort(np.linalg.eigvalsh(m))[::-1][:5], abs=1e-9)
+    assert np.abs(m @ x - x * s).max() < 1e-9
+    # Not symmetric: the matrix of walks that don't step back.
+    k = m.sum(axis=1)
+    b = np.block([[np.zeros_like(m), np.diag(k - 1)], [-np.eye(len(m)), m]])
+    s, x = spectral.wide_eigen(lambda y: b @ y, len(b), 5, 1e-8)
+    assert np.abs(s) == pytest.approx(np.sort(np.abs(np.linalg.eigvals(b)))[::-1][:5], abs=1e-6)
+
+
+def test_no_gap_is_left_to_narrow_spaces():
+    d = 1 - 1e-6 * np.arange(3000)
+    assert spectral.wide_eigen(lambda y: d[:, None] * y, 3000, 5, 1e-12, symmetric=True) is None
+
+
+def test_products_of_some_nodes_at_a_time(monkeypatch):
+    from edgeloom.operators import around
+
+    monkeypatch.setattr(around.Near, "ROWS", 16)
+    a = parts(3)
+    a[0, 1:60] = a[1:60, 0] = 1.0
+    g = around.Graph(*np.nonzero(a))
+    x = np.random.default_rng(0).standard_normal((len(a), 37))
+    for most in (256, 4):
+        assert around.Near(g, most).around(x) == pytest.approx(a @ x, abs=1e-12)
