@@ -189,3 +189,27 @@ def test_what_is_sent_is_small_and_whole():
     for x in ("ids", "at", "near", "k"):
         assert getattr(got, x).dtype == getattr(g, x).dtype and (getattr(got, x) == getattr(g, x)).all()
     assert not len(empty.ids) and not len(empty.near)
+
+
+@pytest.mark.parametrize("load", [False, True])
+def test_betweenness_block_by_block(spark, monkeypatch, load):
+    """Parts that hang together by single nodes and edges are searched alone, with the same result."""
+    from edgeloom.operators import blocks
+
+    rng = np.random.default_rng(7)
+    edges = {(n * 10 + int(a), n * 10 + int(b)) for n in range(4) for a, b in rng.integers(0, 10, (18, 2)) if a < b}
+    edges |= {(3, 13), (15, 25), (25, 31), (25, 77), (77, 78), (90, 91)}
+    u, v = np.array(sorted(edges)).T
+    g = around.Graph(np.concatenate([u, v]), np.concatenate([v, u]))
+    whole, searched = around.flows(g, np.arange(len(g.ids)), load), []
+    monkeypatch.setattr(blocks, "part", lambda g, members, make=blocks.part: searched.append(len(members)) or make(g, members))
+    got = blocks.Blocks(g)
+    total = got.crossing.copy()
+    for at, to in zip(got.at[:-1], got.at[1:]):
+        own = blocks.part(g, got.members[at:to])
+        total[own.ids] += around.flows(own, np.arange(len(own.ids)), load, got.weight[at:to])
+    assert max(searched) <= 11 and total == pytest.approx(whole, abs=1e-9)
+    sym = graph.symmetric(as_edges(spark, sorted(edges)))
+    n = len(g.ids)
+    rows = {r["u"]: r["bc"] for r in features.betweenness(sym, load=load).collect()}
+    assert rows == pytest.approx(dict(zip(g.ids.tolist(), whole / ((n - 1) * (n - 2)))), abs=1e-12)
