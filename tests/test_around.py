@@ -213,3 +213,30 @@ def test_betweenness_block_by_block(spark, monkeypatch, load):
     n = len(g.ids)
     rows = {r["u"]: r["bc"] for r in features.betweenness(sym, load=load).collect()}
     assert rows == pytest.approx(dict(zip(g.ids.tolist(), whole / ((n - 1) * (n - 2)))), abs=1e-12)
+
+
+def test_walks_hold_what_they_reach(spark, monkeypatch):
+    """On a long path, seeds' walks are made on the nodes within their steps, and nothing else makes rows."""
+    from edgeloom.operators import blocks
+
+    held = []
+    sym = graph.symmetric(as_edges(spark, [(i, i + 1) for i in range(400)]))
+    shared = around.held(sym)
+    monkeypatch.setattr(blocks, "part", lambda g, ball, make=blocks.part: held.append(len(ball)) or make(g, ball))
+
+    class Seeds:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def repartitionByRange(self, *_):
+            return self
+
+        def mapInArrow(self, run, _schema):
+            ids = walks.pa.array([100, 102, 900], walks.pa.int64())
+            return [tuple(r.values()) for b in run([walks.pa.RecordBatch.from_arrays([ids], ["node"])]) for r in b.to_pylist()]
+
+    got = walks.ball_rows(shared, Seeds(), 3, 0.15, 0.85, "s long, u long, ppr double")
+    assert held == [9] and {r[:2] for r in got} == {(900, 900), *((s, u) for s in (100, 102) for u in range(s - 3, s + 4))}
+    assert sum(r[2] for r in got if r[0] == 100) == pytest.approx(1.0)
