@@ -103,3 +103,21 @@ def test_products_of_some_nodes_at_a_time(monkeypatch):
     x = np.random.default_rng(0).standard_normal((len(a), 37))
     for most in (256, 4):
         assert around.Near(g, most).around(x) == pytest.approx(a @ x, abs=1e-12)
+
+
+def test_hundreds_of_pairs_in_one_space():
+    """No more than the space and some columns is held; the largest by magnitude are of both signs."""
+    m, most = parts(12, 60), []
+    s, x = spectral.filtered_eigen(lambda y: most.append(y.shape[1]) or m @ y, len(m), 27)
+    want = np.linalg.eigvalsh(m)
+    assert max(most) == 16 and s.min() < 0
+    assert np.abs(s) == pytest.approx(np.sort(np.abs(want))[::-1][:27], abs=1e-8)
+    assert np.abs(m @ x - x * s).max() < 1e-7
+
+
+def test_svd_features_of_some_vectors_at_a_time(sym, monkeypatch):
+    pairs = graph.upper_triangle(sym)
+    want = {(r[0], r[1]): tuple(r[2:]) for r in features.approximate_svd_features(sym, pairs).collect()}
+    monkeypatch.setattr(features, "SENT", 1000)
+    got = {(r[0], r[1]): tuple(r[2:]) for r in features.approximate_svd_features(sym, pairs, max_nodes=5).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
